@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, langid, licenses, lm, sentencepieces, sharding, simhash, toxicity, urls
+from weftline.llm import decontaminate, langid, licenses, lm, search, sentencepieces, sharding, simhash, toxicity, urls
 from weftline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op5_sharding(spark, d):
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op6_topk_search(spark, d):
+    return search.top_k(documents(spark, d))
+
+
 @query
 def op7_lm_score(spark, d):
     docs = documents(spark, d)
