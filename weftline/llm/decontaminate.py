@@ -26,7 +26,7 @@ SIZES, FINE = (1, 4, 8, 12, 24, 48), 8
 #: Windows of a document begin at every STRIDE-th word; an item has one at each of its words, so that one of STRIDE meets a document's.
 STRIDE = 4
 #: Independent walks; keys of each for each size; steps sampled by a key, and by one of the size FINE, whose few words are oftener met by chance.
-WALKS, KEYS, SAMPLED, FINE_SAMPLED = 2, 6, 5, 8
+WALKS, KEYS, SAMPLED, FINE_SAMPLED = 2, 6, 5, 9
 #: Edits allowed, as a share of the item's characters.
 EDITS = 0.2
 #: Bytes of documents walked at a time, and of items that one pass over the documents looks for.
@@ -110,20 +110,20 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     mask, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = mask, 0, m
     best, at = m, 0
+    get = peq.get
     for j, c in enumerate(text):
-        eq = peq.get(c, 0)
+        eq = get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | (~(xh | pv) & mask), pv & xh
+        ph, mh = mv | ((xh | pv) ^ mask) & mask, pv & xh
         if ph & high:
             score += 1
         elif mh & high:
             score -= 1
+            if score < best:
+                best, at = score, j + 1
         ph = ph << 1 & mask
-        mh = mh << 1 & mask
-        pv, mv = mh | (~(xv | ph) & mask), ph & xv
-        if score < best:
-            best, at = score, j + 1
+        pv, mv = mh << 1 & mask | (xv | ph) ^ mask, ph & xv
     return best, at
 
 
@@ -240,13 +240,14 @@ class Index:
             by_item[item].append(word)
         for item, places in by_item.items():
             pattern, n = self.ready["normal"][item], int(self.ready["words"][item])
-            slack, most = max(4, n // 4), int(self.edits * len(self.ready["normal"][item]))
+            # up to two words' worth of places are one, and edits before a place move it by fewer words than they are
+            slack, most = 2 + n // 6, int(self.edits * len(self.ready["normal"][item]))
             done = -1
             for word in sorted(places):
                 if word <= done:
                     continue
-                done = word + slack // 2
-                a, b = max(first, word - slack), min(last, word + n + 2 * slack)
+                done = word + 1
+                a, b = max(first, word - slack), min(last, word + n + slack + 1)
                 if a >= b:
                     continue
                 from_byte, to_byte = int(w.start[a]) - base, int(w.end[b - 1]) - base
