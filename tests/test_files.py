@@ -4,7 +4,8 @@ import random
 import pytest
 
 from weftline import cli
-from weftline.operators import order
+from weftline.operators import dictionary, order
+from weftline.plans import files as plans
 from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, format_size, parse_size
 from weftline.plans.files import generate_file, sort_file
 from weftline.plans.strategy import choose_strategy, shard_count
@@ -99,6 +100,42 @@ def test_parallelism_never_changes_bytes(spark, tmp_path, partitions):
     assert run(spark, tmp_path, data, strategy="shard", partitions=partitions) == want
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_dictionary_sort_gives_the_same_bytes(spark, tmp_path, monkeypatch, partitions):
+    monkeypatch.setattr(plans, "DICTIONARY_BYTES", 1)
+    monkeypatch.setattr(plans, "SINGLE_TASK_BYTES", 1)
+    rng = random.Random(9)
+    texts = ["hot"] * 30 + ["b", "a", "", "zz", "é", "\U00010000", "ﾀ", "a b"]
+    rows = [(rng.choice([-(1 << 40), 0, 7, 1 << 40]) + rng.randint(-9, 9), rng.choice(texts)) for _ in range(4000)]
+    want = "".join(f"{n}. {t}\n" for n, t in sorted(rows, key=lambda r: (r[1].encode(), r[0]))).encode()
+    data = "".join(f"{n}. {t}\n" for n, t in rows).encode()
+    assert run(spark, tmp_path, data, partitions=partitions) == want
+    assert run(spark, tmp_path, b"") == b""
+    with pytest.raises(Exception, match="Malformed line"):
+        run(spark, tmp_path, data + b"bad\n")
+
+
+def test_dictionary_fits_or_declines(spark, monkeypatch):
+    few = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "number bigint, text string")
+    assert dictionary.probe(few) and dictionary.sort_by_dictionary(few, 4) is not None
+    many = spark.createDataFrame([(i, str(i)) for i in range(100)], "number bigint, text string")
+    assert not dictionary.probe(many)
+    monkeypatch.setattr(dictionary, "MOST_TEXTS", 50)
+    assert dictionary.sort_by_dictionary(many, 4) is None
+    for row in ((1 << 62, "a"), (None, "a"), (1, None)):
+        assert dictionary.sort_by_dictionary(few.unionByName(spark.createDataFrame([row, (-(1 << 62), "b")], few.schema)), 4) is None
+    assert dictionary.sort_by_dictionary(few.filter("false"), 4) is None
+
+
+def test_dictionary_ranges_are_even_and_ordered():
+    counts, lows, highs = [5, 90, 5, 0], [0, 0, 3, 9], [9, 9, 3, 9]
+    bounds = dictionary.cut(counts, lows, highs, 10, 0, 4)
+    assert len(bounds) == 3 and list(bounds) == sorted(bounds)
+    keys = [r * 10 + lows[r] + (highs[r] - lows[r] + 1) * i // n for r, n in enumerate(counts) for i in range(n)]
+    sizes = [sum(dictionary.place(bounds, k) == p for k in keys) for p in range(4)]
+    assert max(sizes) <= 35
+
+
 def test_generator(spark, tmp_path):
     options = GeneratorOptions(phrases=10, seed=7)
     for name in ("a", "b"):

@@ -11,7 +11,7 @@ SHOWN = 80
 
 def trim_cr(line: Column) -> Column:
     """Without one trailing carriage return; any before it is data."""
-    return F.regexp_replace(line, r"\r\z", "")
+    return F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line)
 
 
 def separator(line: Column) -> Column:
@@ -26,9 +26,14 @@ def has_separator(line: Column) -> Column:
 
 
 def leading_number(line: Column) -> Column:
-    """The signed 64-bit number that the part before the dot begins with; null if none fits."""
-    digits = F.regexp_extract(F.substr(line, F.lit(1), separator(line) - 1), r"^[+-]?[0-9]+", 0)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    """The signed 64-bit number that the part before the dot begins with; null if none fits.
+
+    Most parts are a number and nothing else: a cast tells, where no white space is there for it to trim. Only other parts meet a regular expression.
+    """
+    before = F.substr(line, F.lit(1), separator(line) - 1)
+    tight = (F.ascii(before) > 32) & (F.substr(line, separator(line) - 1, F.lit(1)) > " ")
+    digits = F.regexp_extract(before, r"^[+-]?[0-9]+", 0)
+    return F.coalesce(F.when(tight, before.try_cast("bigint")), F.nullif(digits, F.lit("")).try_cast("bigint"))
 
 
 def whole_number(line: Column) -> Column:

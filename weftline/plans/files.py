@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.operators import order
+from weftline.operators import dictionary, order
 from weftline.options import GeneratorOptions, SortOptions, format_size
 from weftline.plans.strategy import choose_strategy
 from weftline.sinks import files
@@ -30,8 +30,8 @@ def ordered(df: DataFrame, strategy: str, partitions: int) -> DataFrame:
     return order.sort_shard(df, partitions) if strategy == "shard" else order.sort_lines(df)
 
 
-#: Text bytes up to which one task sorts faster than an exchange of ranges pays off.
-SINGLE_TASK_BYTES = 8 << 20
+#: Text bytes up to which one task sorts faster than an exchange of ranges pays off, and from which a dictionary's extra pass does.
+SINGLE_TASK_BYTES, DICTIONARY_BYTES = 8 << 20, 24 << 20
 
 
 def sort_file(spark: SparkSession, source: str, target: str, options: SortOptions | None = None, *, single: bool = True, progress: Callable[[str], None] | None = None) -> int:
@@ -39,7 +39,7 @@ def sort_file(spark: SparkSession, source: str, target: str, options: SortOption
 
     ``single=False`` leaves ordered ``part-*`` files in the folder ``target``: the form for large results.
     Under ``auto`` an input of SINGLE_TASK_BYTES at most stays in one task; above it the range sort runs, with
-    ranges of about 64 MiB unless ``partitions`` says otherwise. Cancel with SparkContext.cancelJobGroup.
+    ranges of about 64 MiB unless ``partitions`` says otherwise, or from DICTIONARY_BYTES on the dictionary sort if the texts repeat. Cancel with SparkContext.cancelJobGroup.
     """
     options, say = options or SortOptions(), progress or (lambda _: None)
     size = input_size(spark, source)
@@ -52,7 +52,11 @@ def sort_file(spark: SparkSession, source: str, target: str, options: SortOption
     if options.on_error == "quarantine":
         rows.filter("bad_line is not null").select("bad_line").write.mode("overwrite").text(f"{target}.rejected")
         rows = rows.filter("bad_line is null").drop("bad_line")
-    result = ordered(rows, strategy, partitions)
+    result = None
+    if options.strategy == "auto" and size >= DICTIONARY_BYTES and dictionary.probe(rows):
+        result = dictionary.sort_by_dictionary(rows, partitions)
+    if result is None:
+        result = ordered(rows, strategy, partitions)
     written = files.write_single(result, target) if single else files.write_parts(result, target) or 0
     say(f"wrote {format_size(written)}" if single else f"wrote parts to {target}")
     return written

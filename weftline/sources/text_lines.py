@@ -33,7 +33,8 @@ def parse_lines(df: DataFrame, column: str = "value", *, strict: bool = False, b
         return df.select(F.when(ok, number).alias("number"), F.when(ok, text).alias("text"), F.when(~ok, F.coalesce(line, F.lit(""))).alias("bad_line"))
     what = F.when(F.coalesce(F.length(line), F.lit(0)) == 0, F.lit("Empty line")).otherwise(F.concat(F.lit("Malformed line: "), L.truncate_text(line)))
     fail = lambda kind: F.raise_error(what).cast(kind)
-    return df.select(F.when(ok, number).otherwise(fail("bigint")).alias("number"), F.when(ok, text).otherwise(fail("string")).alias("text"))
+    separated = (F.instr(line, ". ") > 1) if strict else L.has_separator(line)
+    return df.select(F.coalesce(F.when(separated, number), fail("bigint")).alias("number"), F.when(ok, text).otherwise(fail("string")).alias("text"))
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
