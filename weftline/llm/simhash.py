@@ -20,6 +20,9 @@ GROUP_ROWS = 20_000
 JOIN_ROWS, PAIRS = 100_000, 500_000
 #: Shingles hashed at once for one long text.
 SHINGLES = 100_000
+#: Longs of a wide fingerprint. Each half of one is a word of a trie of its own; pairs that any of them finds within
+#: WORD_BUDGET bits are candidates if all longs together differ by WIDE_BUDGET bits at most.
+WIDE, WORD_BUDGET, WIDE_BUDGET = 4, 2, 44
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -39,6 +42,38 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str | None, width: int = 3, seed: int = 42, parts: int = WIDE) -> list[int]:
+    """``parts`` fingerprints of 64 bits from one hash a shingle: the first is the plain one, the others come of the hash mixed anew."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return [0] * parts
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    votes = np.zeros((parts, BITS), np.int64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, n, SHINGLES):
+        part = words[at : at + SHINGLES + width - 1]
+        h = np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))], "<u8")
+        for k in range(parts):
+            votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def wide_column(text: Column, width: int = 3, seed: int = 42) -> Column:
+    """``struct<w0, w1, ...>`` of signed longs."""
+    names = [f"w{k}" for k in range(WIDE)]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t, width, seed) for part in slices(batch) for t in part.to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE)], names=names)
+
+    return fingerprints(text)
+
+
 def fingerprint_column(text: Column, width: int = 3, seed: int = 42) -> Column:
     """The fingerprint as a signed long."""
 
@@ -127,8 +162,8 @@ def _links_of(budget: int):
         a, b = [], []
         for depth in np.unique(fixed):
             own = np.flatnonzero(fixed == depth)
-            order = own[np.lexsort((rot[own], key[own], path[own]))]
-            p, k, r, f = path[order], key[order], rot[order], fp[order]
+            order = own[np.lexsort((rot.view(np.uint64)[own], key[own], path[own]))]
+            p, k, r, f = path[order], key[order], np.ascontiguousarray(rot[order]).view(np.uint64), fp[order]
             first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])]))
             last = np.append(first[1:], len(p))
             big = last - first > 1
@@ -139,22 +174,7 @@ def _links_of(budget: int):
         return pa.record_batch([pa.array(np.concatenate(x) if x else np.array([], np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rows += batch.num_rows
-            if rows < JOIN_ROWS:
-                continue
-            path, key, fixed, rot, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            # the last group may go on in the next batch
-            whole = int(np.flatnonzero((path != path[-1]) | (key != key[-1]))[-1]) + 1 if ((path != path[-1]) | (key != key[-1])).any() else 0
-            if whole:
-                yield join(path[:whole], key[:whole], fixed[:whole], rot.view(np.uint64)[:whole], fp[:whole])
-            held, rows = [[x[whole:] for x in (path, key, fixed, rot, fp)]], rows - whole
-        if rows:
-            path, key, fixed, rot, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield join(path, key, fixed, rot.view(np.uint64), fp)
+        yield from _by_group(batches, join)
 
     return links
 
@@ -171,7 +191,7 @@ def _rotated(rot: Column, fixed: int, by: int) -> Column:
     return rot.bitwiseAND(signed(~mask & (1 << 64) - 1)).bitwiseOR(turned)
 
 
-def _routes(rows: DataFrame, fixed: int, parts: int) -> tuple[DataFrame, list[int]]:
+def _routes(rows: DataFrame, keep: list[str], fixed: int, parts: int) -> tuple[DataFrame, list[int]]:
     """Each row once for each of ``parts`` blocks of its free bits, turned so that the block comes first and belongs to the key.
 
     Two keys that differ in fewer than ``parts`` bits agree in a block, so no link is lost.
@@ -183,22 +203,18 @@ def _routes(rows: DataFrame, fixed: int, parts: int) -> tuple[DataFrame, list[in
         turned = _rotated(F.col("rot"), fixed, by)
         options.append(F.struct((F.col("path") * parts + i + 1).alias("path"), turned.alias("rot"), F.shiftrightunsigned(turned, BITS - fixed - w).alias("key"), F.lit(fixed + w).alias("fixed")))
         by += w
-    return rows.select("fp", F.explode(F.array(*options)).alias("r")).select("fp", "r.path", "r.key", "r.fixed", "r.rot"), widths
+    return rows.select(*keep, F.explode(F.array(*options)).alias("r")).select(*keep, "r.path", "r.key", "r.fixed", "r.rot"), widths
 
 
-def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
-    """``a, b``: links between distinct fingerprints of ``budget`` differing bits at most, enough of them to connect all that are linked.
+def _spread(rows: DataFrame, keep: list[str], fixed: int, parts: int) -> DataFrame:
+    """Rows (path, rot, and ``keep``) dealt to subtrees of turned tries, each row once for each of ``parts`` blocks of its free bits.
 
-    Fingerprints are dealt to subtrees of budget + 1 turned tries by a block of their bits; a subtree with over GROUP_ROWS keys is
-    dealt again by a block of the bits that remain, so a hot block spreads however many share it. A subtree whose keys
-    agree in all but 12 bits or fewer has 4,096 of them at most and is never cut further.
+    A subtree with over GROUP_ROWS rows is dealt again by a block of the bits that remain, so a hot block spreads however many
+    share it. A subtree whose keys agree in all but 12 bits or fewer has 4,096 different ones at most and is never cut further.
     """
-    parts = budget + 1
-    rows = fingerprints.select(F.col(column).alias("fp")).filter("fp is not null").distinct().select("fp", F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("rot"))
-    fixed, cold = 0, []
-    rows = cut(rows)
+    rows, cold = cut(rows), []
     while True:
-        routed, widths = _routes(rows, fixed, parts)
+        routed, widths = _routes(rows, keep, fixed, parts)
         if BITS - fixed - min(widths) <= 12:
             cold.append(routed)
             break
@@ -208,13 +224,154 @@ def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
             break
         cold.append(routed.join(hot, ["path", "key"], "left_anti"))
         # a block's width may be one less than another's: the smaller count of agreeing bits holds for all
-        rows, fixed = routed.join(hot, ["path", "key"], "left_semi").select("fp", "path", "rot"), fixed + min(widths)
+        rows, fixed = routed.join(hot, ["path", "key"], "left_semi").select("path", "rot", *keep), fixed + min(widths)
     every = cold[0]
     for more in cold[1:]:
         every = every.unionByName(more)
-    n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = every.select("path", "key", "fixed", "rot", "fp").repartition(n, "path", "key").sortWithinPartitions("path", "key")
-    return dealt.mapInArrow(_links_of(budget), "a bigint, b bigint").distinct()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.select("path", "key", "fixed", "rot", *keep).repartition(n, "path", "key").sortWithinPartitions("path", "key")
+
+
+def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
+    """``a, b``: links between distinct fingerprints of ``budget`` differing bits at most, enough of them to connect all that are linked.
+
+    Fingerprints are dealt to subtrees of budget + 1 turned tries by a block of their bits, so that no link is lost.
+    """
+    rows = fingerprints.select(F.col(column).alias("fp")).filter("fp is not null").distinct().select("fp", F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("rot"))
+    return _spread(rows, ["fp"], 0, budget + 1).mapInArrow(_links_of(budget), "a bigint, b bigint").distinct()
+
+
+def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of weighted pairs, given in pieces, as few as connect what they connect: again and again each component takes its nearest link to a smaller one."""
+    root, a, b = np.arange(n), [], []
+    for i, j, weight in pieces:
+        while len(i):
+            x, y = root[i], root[j]
+            apart = x != y
+            i, j, weight, x, y = i[apart], j[apart], weight[apart], x[apart], y[apart]
+            if not len(i):
+                break
+            hi, lo = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((weight, hi))
+            first = order[np.flatnonzero(np.concatenate([[True], hi[order][1:] != hi[order][:-1]]))]
+            a.append(i[first])
+            b.append(j[first])
+            root[hi[first]] = lo[first]
+            while not np.array_equal(root, up := root[root]):
+                root = up
+    none = np.array([], np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates among rows sorted by group and key. Rows of one key are first joined to leaders, and leaders of near keys are then compared."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+        ok = d <= WIDE_BUDGET
+        return i[ok], j[ok], d[ok]
+
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (rot[1:] != rot[:-1])]))
+    run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (rot[1:] != rot[:-1])]).astype(np.int64))
+    left, leaders = np.arange(len(rot)), []
+    while len(left):  # each run's first row leads those near it; the others go on
+        heads = left[np.flatnonzero(np.concatenate([[True], run[left][1:] != run[left][:-1]]))]
+        leaders.append(heads)
+        of = heads[np.searchsorted(run[heads], run[left])]
+        rest = left != of
+        i, j = of[rest], left[rest]
+        d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+        ok = d <= WIDE_BUDGET
+        yield i[ok], j[ok], d[ok]
+        left = j[~ok]
+    lead = np.sort(np.concatenate(leaders))
+    begin = np.searchsorted(run[lead], np.arange(len(first) + 1))
+    g = group[first]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    ends = np.append(starts[1:], len(g))
+    big = ends - starts > 1
+    for i, j in trie_join(rot[first], starts[big], ends[big], fixed, WORD_BUDGET):
+        for at in range(0, len(i), PAIRS // 8):
+            x, y = i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
+            nx, ny = begin[x + 1] - begin[x], begin[y + 1] - begin[y]
+            size = nx * ny
+            of = np.repeat(np.arange(len(x)), size)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            yield near(lead[begin[x][of] + inner // ny[of]], lead[begin[y][of] + inner % ny[of]])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: whole groups (path, key) of words with their wide fingerprints to candidate pairs of first longs."""
+
+    def join(path, key, fixed, rot, *wide) -> pa.RecordBatch:
+        a, b = [], []
+        for depth in np.unique(fixed):
+            own = np.flatnonzero(fixed == depth)
+            order = own[np.lexsort((wide[0][own], rot[own], key[own], path[own]))]
+            p, k = path[order], key[order]
+            group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (k[1:] != k[:-1])]).astype(np.int64))
+            w = np.stack([x[order].view(np.uint64) for x in wide], axis=1)
+            i, j = spanning(len(order), _wide_pairs(np.ascontiguousarray(rot[order]).view(np.uint64), group, w, int(depth)))
+            a.append(wide[0][order][i])
+            b.append(wide[0][order][j])
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    yield from _by_group(batches, join)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatch]:
+    """Calls ``join`` on columns of whole groups (the first two columns), JOIN_ROWS rows or more at a time."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < JOIN_ROWS:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        other = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+        whole = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+        if whole:
+            yield join(*(x[:whole] for x in columns))
+        held, rows = [[x[whole:] for x in columns]], rows - whole
+    if rows:
+        yield join(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """``a, b``: pairs of first longs whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more.
+
+    ``nodes``: w0, w1, ... and ``row``, one for each first long; ``texts``: ``row, text``. Candidates come from the tries over all words of the
+    wide fingerprints; the similarity is then exact, from shingle hashes of the texts that are in a candidate pair.
+    """
+    wide = [f"w{k}" for k in range(WIDE)]
+    half = [x for k in range(WIDE) for x in (F.shiftrightunsigned(F.col(f"w{k}"), 32), F.col(f"w{k}").bitwiseAND(0xFFFFFFFF))]
+    words = nodes.select(*wide, F.posexplode(F.array(*half)).alias("path", "rot")).select((F.col("path") + 1).cast("bigint").alias("path"), "rot", *wide)
+    pairs = cut(_spread(words, wide, BITS // 2, WORD_BUDGET + 1).mapInArrow(_candidates, "a bigint, b bigint").distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = nodes.select(F.col("w0").alias("node"), "row").join(ends, "node").join(texts, "row").select("node", "text")
+    sets = stage_table(chosen.select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def shingle_set(text: Column, width: int = 5) -> Column:
+    """The different shingles of a text (fewer words: the whole sequence) as 32-bit hashes, in order."""
+
+    @F.arrow_udf("array<int>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_hashes(t, width) for part in slices(batch) for t in part.to_pylist()], pa.list_(pa.int32()))
+
+    return shingles(text)
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    n = min(width, len(words))
+    return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))] if n else [], np.uint32).view(np.int32))
 
 
 def class_ids(rows: DataFrame, fp: str, id_col: str, budget: int = 2) -> DataFrame:
@@ -250,3 +407,20 @@ def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: i
     placed = slim.join(ids, "fp")
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
     return staged.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(df.columns)
+
+
+def keep_one_similar(df: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``df``, whole, that stay: one of each group of near copies, the one with the smallest id (of rows with that id the first by position).
+
+    Groups: texts with one 64-bit fingerprint, and chains of texts whose ``width``-word shingles have a similarity of ``least`` or more. Links that SimHash
+    candidates miss stay unfound (the README has the measured recall); none that are found are below ``least``. Null and wordless texts are one group.
+    """
+    fp, row = free_name(df, "fp"), free_name(df, "row")
+    staged = stage_table(df.withColumns({fp: wide_column(F.col(text)), row: F.monotonically_increasing_id()}), "rows")
+    slim = staged.select(F.col(f"{fp}.*"), F.col(row).alias("row"), F.col(id_col).alias("id"))
+    wide = [f"w{k}" for k in range(WIDE)]
+    nodes = cut(slim.groupBy("w0").agg(F.min(F.struct("row", *wide[1:])).alias("r")).select("w0", "r.*"))
+    roots = connected_components(similar_links(nodes, staged.select(F.col(row).alias("row"), F.col(text).alias("text")), least, width))
+    placed = slim.select("w0", "row", "id").join(roots.withColumnRenamed("node", "w0"), "w0", "left").select("row", "id", F.coalesce("root", "w0").alias("root"))
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    return staged.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(df.columns)
