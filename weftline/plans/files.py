@@ -31,7 +31,7 @@ def ordered(df: DataFrame, strategy: str, partitions: int) -> DataFrame:
 
 
 #: Text bytes up to which one task sorts faster than an exchange of ranges pays off, and from which a dictionary's extra pass does.
-SINGLE_TASK_BYTES, DICTIONARY_BYTES = 8 << 20, 24 << 20
+SINGLE_TASK_BYTES, DICTIONARY_BYTES = 4 << 20, 96 << 20
 
 
 def sort_file(spark: SparkSession, source: str, target: str, options: SortOptions | None = None, *, single: bool = True, progress: Callable[[str], None] | None = None) -> int:
