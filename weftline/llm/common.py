@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,31 @@ from weftline.staging import shared_dir, staged_path
 BATCH_BYTES = 4 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's modules to the workers of the session, once an application: they need not have it installed or stand in its folder."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    if not root.is_dir():
+        return  # imported from an archive that was shipped already
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="weftline-")), "weftline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(archive)
+
+
+def arrow_udf(returns: str):
+    """functions.arrow_udf, with the package shipped to the workers of the active session."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+    return F.arrow_udf(returns)
+
+
 def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
     """Neighbouring rows of up to ``most`` bytes of text together; at least one row each."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import free_name, slices
+from weftline.llm.common import arrow_udf, free_name, slices
 
 #: Window sizes in words. An item takes the largest that leaves STRIDE windows in it (longer items several),
 #: and the size FINE as well, for items whose words are edited all over.
@@ -275,7 +275,7 @@ def found_in(text: Column, index: Index) -> Column:
     """The index's items in a text, with their edit distance and the bytes of the stretch they were found in."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    @F.arrow_udf(FOUND)
+    @arrow_udf(FOUND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ("item_id", "distance", "start", "end")
         for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import free_name, held_out, slices
+from weftline.llm.common import arrow_udf, free_name, held_out, ship, slices
 
 #: N-grams of 1 to ORDER letters; letters are numbered in CODE_BITS bits, so that an n-gram and its length fit in 32.
 ORDER, CODE_BITS = 3, 10
@@ -136,6 +136,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: st
     ``max_rows`` bounds the sample (as its expected size; rows are taken by a hash of id and text length), so training costs the same at any scale.
     Languages without a letter in their rows get no profile; no usable rows give no profiles, and every text is ``und``.
     """
+    ship(docs.sparkSession)
     usable = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null").filter(~held_out(F.col("id"), folds, fold))
     total = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).filter("lang is not null").count()
     share = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
@@ -151,7 +152,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: st
 def predicted(text: Column, profiles: Profiles) -> Column:
     """``struct<lang, score>`` of a text."""
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @arrow_udf("struct<lang: string, score: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [profiles.predict(x) for part in slices(batch) for x in part.to_pylist()]

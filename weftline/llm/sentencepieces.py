@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import arrow_udf, slices
 
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -226,7 +226,7 @@ def encoded(text: Column, model: bytes, threads: int = 2) -> Column:
     kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
     plain = not (m := parse(model)).charsmap and not m.trim_spaces
 
-    @F.arrow_udf(ENCODED)
+    @arrow_udf(ENCODED)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             done = []
@@ -244,7 +244,7 @@ def encoded(text: Column, model: bytes, threads: int = 2) -> Column:
 def decoded(ids: Column, model: bytes, threads: int = 2) -> Column:
     """The text of token ids. Null for null."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = (batch.slice(at, ROWS).to_pylist() for at in range(0, len(batch), ROWS))

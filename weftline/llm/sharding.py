@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, free_name
+from weftline.llm.common import cut, free_name, ship
 
 #: Bytes of records that a bucket holds on average: what one task shuffles in memory.
 BUCKET_BYTES = 16 << 20
@@ -58,6 +58,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, *, text: str = "text",
     law, but not a bucket: buckets are drawn by a hash of the whole row. Rows alike in every column can't be told apart
     and share a bucket. The order in a bucket before its shuffle is that of the rows' hashes and ids, so the result doesn't depend on the run.
     """
+    ship(df.sparkSession)
     names = {x: free_name(df, x) for x in ("shard", "slot", "grown_shard", "size", "bucket", "mix", "base", "nb")}
     own = df.columns
     mix = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t))

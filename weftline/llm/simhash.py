@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, free_name, slices, stage_table
+from weftline.llm.common import arrow_udf, cut, free_name, ship, slices, stage_table
 from weftline.llm.components import connected_components
 
 BITS = 64
@@ -65,7 +65,7 @@ def wide_column(text: Column, width: int = 3, seed: int = 42) -> Column:
     """``struct<w0, w1, ...>`` of signed longs."""
     names = [f"w{k}" for k in range(WIDE)]
 
-    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    @arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = np.array([wide_fingerprint(t, width, seed) for part in slices(batch) for t in part.to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
@@ -77,7 +77,7 @@ def wide_column(text: Column, width: int = 3, seed: int = 42) -> Column:
 def fingerprint_column(text: Column, width: int = 3, seed: int = 42) -> Column:
     """The fingerprint as a signed long."""
 
-    @F.arrow_udf("bigint")
+    @arrow_udf("bigint")
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [fingerprint(t, width, seed) for part in slices(batch) for t in part.to_pylist()]
@@ -212,6 +212,7 @@ def _spread(rows: DataFrame, keep: list[str], fixed: int, parts: int) -> DataFra
     A subtree with over GROUP_ROWS rows is dealt again by a block of the bits that remain, so a hot block spreads however many
     share it. A subtree whose keys agree in all but 12 bits or fewer has 4,096 different ones at most and is never cut further.
     """
+    ship(rows.sparkSession)
     rows, cold = cut(rows), []
     while True:
         routed, widths = _routes(rows, keep, fixed, parts)
@@ -360,7 +361,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
 def shingle_set(text: Column, width: int = 5) -> Column:
     """The different shingles of a text (fewer words: the whole sequence) as 32-bit hashes, in order."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([shingle_hashes(t, width) for part in slices(batch) for t in part.to_pylist()], pa.list_(pa.int32()))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import free_name, held_out, slices
+from weftline.llm.common import arrow_udf, free_name, held_out, ship, slices
 
 WORD = re.compile(r"\w+")
 #: Words from which a hit's neighbours are taken, on each side.
@@ -257,6 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     its occurrences count once for each different pair of neighbours, so that copies of one text don't make a term.
     Null texts count as empty, rows without a label (or with a null one) aren't used; no usable rows give a model that scores all texts low.
     """
+    ship(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null").filter(~held_out(F.col("id"), folds, fold))
     total = usable.count()
     if not total:
@@ -283,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     model = ToxicityModel({r["term"]: min(1.0, r["lift"] / 5) for r in terms})
     if model.weights:
 
-        @F.arrow_udf("array<string>")
+        @arrow_udf("array<string>")
         def respelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 yield pa.array([sorted({h.term for h in model.hits(x) if h.edits}) for part in slices(batch) for x in part.to_pylist()], pa.list_(pa.string()))
@@ -295,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
             t, n = seen.get(term, (0, 0))
             model.misspelled[term] = min(1.0, max(0.0, math.log((t + 0.5) / bad * good / (n + 0.5)) / 5))
 
-        @F.arrow_udf("array<double>")
+        @arrow_udf("array<double>")
         def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 yield pa.array([model.features(x) for part in slices(batch) for x in part.to_pylist()], pa.list_(pa.float64()))
@@ -312,7 +313,7 @@ def judged(text: Column, model: ToxicityModel) -> Column:
     """``struct<score, terms, misspelled, quoted>`` of a text; counts are of hits."""
     kind = pa.struct([("score", pa.float64()), ("terms", pa.int32()), ("misspelled", pa.int32()), ("quoted", pa.int32())])
 
-    @F.arrow_udf("struct<score: double, terms: int, misspelled: int, quoted: int>")
+    @arrow_udf("struct<score: double, terms: int, misspelled: int, quoted: int>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         none = (model.probability((0.0,) * len(FEATURES)), 0, 0, 0)
         for batch in batches:
@@ -338,7 +339,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", id_col:
 def spans(docs: DataFrame, model: ToxicityModel, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each hit: id, ``start`` and ``end`` (characters), ``term``, ``edits``, ``quoted``."""
 
-    @F.arrow_udf("array<struct<start: int, end: int, term: string, edits: int, quoted: boolean>>")
+    @arrow_udf("array<struct<start: int, end: int, term: string, edits: int, quoted: boolean>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
         for batch in batches:

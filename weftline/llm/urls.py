@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import arrow_udf
+
 #: Fixed values: (action, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: One of these rejects a URL.
@@ -89,7 +91,7 @@ JUDGED = "struct<host: string, path: string, rule: string, verdict: string, stri
 def judged(url: Column, filters: UrlFilter) -> Column:
     kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("strict_hits", pa.int32()), ("soft_terms", pa.int32())])
 
-    @F.arrow_udf(JUDGED)
+    @arrow_udf(JUDGED)
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         by_host, automaton = filters.by_host(), filters.automaton()
         for batch in batches:
