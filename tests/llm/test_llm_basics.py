@@ -136,6 +136,8 @@ def test_toxicity_learns_spells_and_quotes(spark, odd, empty):
     assert [h.edits for h in model.hits(misspelled)] == [1, 1]
     assert model.score(misspelled) > model.score("taka lope mido")
     assert all(h.quoted for h in model.hits(quoted)) and model.score(quoted) < model.score(plain)
+    assert model.score("dundrepate " * 500) < 0.3
+    assert [("\u0130 dunderpate"[h.start : h.end]) for h in model.hits("\u0130 dunderpate")] == ["dunderpate"]
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(empty, model).count() == 0

@@ -127,6 +127,12 @@ class Lexicon:
         return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character for character, so that places in both are the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 @dataclass(frozen=True)
 class Hit:
     start: int
@@ -165,7 +171,7 @@ class ToxicityModel:
         """All terms of a text, misspelled ones too, with their character spans."""
         if not text or not self.weights:
             return []
-        low, match = text.lower(), self.matcher().match
+        low, match = lowered(text), self.matcher().match
         found = {w: m for w in set(WORD.findall(low)) if (m := match(w)) is not None}
         if not found:
             return []
@@ -183,9 +189,14 @@ class ToxicityModel:
         hits = self.hits(text)
         if not hits:
             return (0.0,) * len(FEATURES)
+        # a spelling that comes again and again is one finding: junk that repeats a word near a term isn't abuse
+        low, seen = lowered(text), {}
+        for h in hits:
+            seen.setdefault(low[h.start : h.end] if h.edits else h.start, h)
+        hits = list(seen.values())
         weight = lambda h: self.misspelled.get(h.term, 0.0) if h.edits else self.weights[h.term]
         mass = lambda keep: math.log1p(sum(weight(h) for h in hits if keep(h)))
-        plain = [h for h in hits if not h.quoted and weight(h)]
+        plain = [h for h in hits if not h.quoted and not h.edits]
         starts, most, at = [h.start for h in plain], 0, 0
         for i, s in enumerate(starts):  # the most hits within about a window of text
             while s - starts[at] > 12 * WINDOW:
