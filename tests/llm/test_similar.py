@@ -76,3 +76,31 @@ def test_spanning_pairs_connect_what_all_pairs_connect():
 def test_wide_fingerprints_begin_with_the_plain_one():
     for text in (None, "", "a", "a b c d", "A b  c\td e f g h"):
         assert simhash.wide_fingerprint(text)[0] == simhash.fingerprint(text)
+
+
+def test_links_behind_failed_candidates_are_found(spark):
+    # the fingerprint of row 2 lies between those of rows 1 and 3, whose texts alone are similar
+    words = [f"w{i}" for i in range(220)]
+    docs = [(1, " ".join(words[:200])), (2, " ".join(words[::-1])), (3, " ".join(words[15:]))]
+    a, c = shingles(docs[0][1]), shingles(docs[2][1])
+    assert len(a & c) >= 0.8 * len(a | c)
+    first = [0x3FF << 32, 0, 0x3FF << 42]
+    fields = [f"w{k}" for k in range(simhash.WIDE)]
+    nodes = spark.createDataFrame([(x, *([0] * (simhash.WIDE - 1)), i + 1) for i, x in enumerate(first)], ", ".join(f"{f} bigint" for f in [*fields, "row"]))
+    got = simhash.similar_links(nodes, spark.createDataFrame(docs, "row bigint, text string")).collect()
+    assert [(r.a, r.b) for r in got] == [(first[0], first[2])]
+
+
+def test_all_candidates_are_connected(monkeypatch):
+    # of rows with one word, those led by another row still meet the rows of other words
+    monkeypatch.setattr(simhash, "WIDE_BUDGET", 10)
+    rng = np.random.Generator(np.random.PCG64(5))
+    for _ in range(20):
+        n = 60
+        wide = np.zeros((n, simhash.WIDE), np.uint64)
+        wide[:, 1] = [sum(1 << int(x) for x in rng.permutation(24)[: rng.integers(0, 12)]) for _ in range(n)]
+        rot = np.sort(rng.integers(0, 6, n).astype(np.uint64))
+        i, j = np.triu_indices(n, 1)
+        want = (np.bitwise_count(rot[i] ^ rot[j]) <= simhash.WORD_BUDGET) & (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= 10)
+        root = simhash.forest(n, iter([simhash.spanning(n, simhash._wide_pairs(rot, np.zeros(n, np.int64), wide, 0))]))
+        assert (root[i[want]] == root[j[want]]).all()

@@ -23,6 +23,8 @@ SHINGLES = 100_000
 #: Longs of a wide fingerprint. Each half of one is a word of a trie of its own; pairs that any of them finds within
 #: WORD_BUDGET bits are candidates if all longs together differ by WIDE_BUDGET bits at most.
 WIDE, WORD_BUDGET, WIDE_BUDGET = 4, 2, 44
+#: Bits of all longs within which rows of one word are represented by one of them in the first round of candidates.
+RADIUS = 4
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -158,7 +160,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def _links_of(budget: int):
     """mapInArrow: whole groups (path, key) of rotated fingerprints, in order, to links ``a, b`` that span the groups' components."""
 
-    def join(path: np.ndarray, key: np.ndarray, fixed: np.ndarray, rot: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def join(path: np.ndarray, key: np.ndarray, fixed: np.ndarray, rot: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for depth in np.unique(fixed):
             own = np.flatnonzero(fixed == depth)
@@ -171,7 +173,7 @@ def _links_of(budget: int):
             linked = np.flatnonzero(root != np.arange(len(p)))
             a.append(f[linked])
             b.append(f[root[linked]])
-        return pa.record_batch([pa.array(np.concatenate(x) if x else np.array([], np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+        yield pa.record_batch([pa.array(np.concatenate(x) if x else np.array([], np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_group(batches, join)
@@ -264,16 +266,47 @@ def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates among rows sorted by group and key. Rows of one key are first joined to leaders, and leaders of near keys are then compared."""
+def _crossed(x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of run x and one of run y (begin[r] to begin[r + 1] are the rows of run r), in pieces; of one run each pair of different rows once."""
+    n = begin[x + 1] - begin[x]
+    of = np.repeat(np.arange(len(x)), n)
+    i = begin[x][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    lo = np.where(x[of] == y[of], i + 1, begin[y][of])
+    size = begin[y + 1][of] - lo
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        k = size[at:to]
+        yield np.repeat(i[at:to], k), np.repeat(lo[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        at = to
+
+
+def _near_runs(rot: np.ndarray, group: np.ndarray, fixed: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Runs of rows with one key (where each begins, and the end), and the pairs of runs, each with itself too, whose keys are near. Rows are sorted by group and key."""
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (rot[1:] != rot[:-1])]))
+    g = group[first]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    ends = np.append(starts[1:], len(g))
+    big = ends - starts > 1
 
-    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-        ok = d <= WIDE_BUDGET
-        return i[ok], j[ok], d[ok]
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.arange(len(first)), np.arange(len(first))
+        for i, j in trie_join(rot[first], starts[big], ends[big], fixed, WORD_BUDGET):
+            for at in range(0, len(i), PAIRS // 8):
+                yield i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
 
-    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (rot[1:] != rot[:-1])]))
-    run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (rot[1:] != rot[:-1])]).astype(np.int64))
+    return np.append(first, len(rot)), pairs()
+
+
+def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that connect all candidates among rows sorted by group and key.
+
+    Rows of one key within RADIUS of a leader are joined to it, and leaders of near keys are then compared: by the triangle
+    inequality leaders within WIDE_BUDGET + 2 * RADIUS stand for every candidate pair of their rows.
+    """
+    begin, runs = _near_runs(rot, group, fixed)
+    run = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     left, leaders = np.arange(len(rot)), []
     while len(left):  # each run's first row leads those near it; the others go on
         heads = left[np.flatnonzero(np.concatenate([[True], run[left][1:] != run[left][:-1]]))]
@@ -282,41 +315,61 @@ def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int
         rest = left != of
         i, j = of[rest], left[rest]
         d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-        ok = d <= WIDE_BUDGET
+        ok = d <= RADIUS
         yield i[ok], j[ok], d[ok]
         left = j[~ok]
     lead = np.sort(np.concatenate(leaders))
-    begin = np.searchsorted(run[lead], np.arange(len(first) + 1))
-    g = group[first]
-    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    ends = np.append(starts[1:], len(g))
-    big = ends - starts > 1
-    for i, j in trie_join(rot[first], starts[big], ends[big], fixed, WORD_BUDGET):
-        for at in range(0, len(i), PAIRS // 8):
-            x, y = i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
-            nx, ny = begin[x + 1] - begin[x], begin[y + 1] - begin[y]
-            size = nx * ny
-            of = np.repeat(np.arange(len(x)), size)
-            inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            yield near(lead[begin[x][of] + inner // ny[of]], lead[begin[y][of] + inner % ny[of]])
+    begin = np.searchsorted(run[lead], np.arange(len(begin)))
+    for x, y in runs:
+        for i, j in _crossed(x, y, begin):
+            i, j = lead[i], lead[j]
+            d = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+            ok = d <= WIDE_BUDGET + 2 * RADIUS
+            yield i[ok], j[ok], d[ok]
+
+
+def _sorted_words(columns: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+    """Columns (path, key, fixed, rot, wide fingerprint, others) by depth and in order: rot, group, wide, depth, and the order."""
+    path, key, fixed, rot, *wide = columns
+    for depth in np.unique(fixed):
+        own = np.flatnonzero(fixed == depth)
+        order = own[np.lexsort((wide[0][own], rot[own].view(np.uint64), key[own], path[own]))]
+        p, k = path[order], key[order]
+        group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (k[1:] != k[:-1])]).astype(np.int64))
+        yield np.ascontiguousarray(rot[order]).view(np.uint64), group, np.stack([x[order].view(np.uint64) for x in wide[:WIDE]], axis=1), int(depth), order
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: whole groups (path, key) of words with their wide fingerprints to candidate pairs of first longs."""
+    """mapInArrow: whole groups (path, key) of words with their wide fingerprints to pairs of first longs that connect all candidates."""
 
-    def join(path, key, fixed, rot, *wide) -> pa.RecordBatch:
-        a, b = [], []
-        for depth in np.unique(fixed):
-            own = np.flatnonzero(fixed == depth)
-            order = own[np.lexsort((wide[0][own], rot[own], key[own], path[own]))]
-            p, k = path[order], key[order]
-            group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (k[1:] != k[:-1])]).astype(np.int64))
-            w = np.stack([x[order].view(np.uint64) for x in wide], axis=1)
-            i, j = spanning(len(order), _wide_pairs(np.ascontiguousarray(rot[order]).view(np.uint64), group, w, int(depth)))
-            a.append(wide[0][order][i])
-            b.append(wide[0][order][j])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def join(*columns) -> Iterator[pa.RecordBatch]:
+        first = columns[4]
+        for rot, group, wide, depth, order in _sorted_words(columns):
+            i, j = spanning(len(order), _wide_pairs(rot, group, wide, depth))
+            yield _pair_batch(first[order][i], first[order][j])
+
+    yield from _by_group(batches, join)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: whole groups of words with their wide fingerprints and a component to all candidate pairs of different components."""
+
+    def join(*columns) -> Iterator[pa.RecordBatch]:
+        first, component = columns[4], columns[4 + WIDE]
+        for rot, group, wide, depth, order in _sorted_words(columns):
+            c, names = component[order], first[order]
+            begin, runs = _near_runs(rot, group, depth)
+            for x, y in runs:
+                for i, j in _crossed(x, y, begin):
+                    other = c[i] != c[j]
+                    i, j = i[other], j[other]
+                    ok = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= WIDE_BUDGET
+                    if ok.any():
+                        yield _pair_batch(names[i[ok]], names[j[ok]])
 
     yield from _by_group(batches, join)
 
@@ -334,28 +387,49 @@ def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatc
         other = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
         whole = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
         if whole:
-            yield join(*(x[:whole] for x in columns))
+            yield from join(*(x[:whole] for x in columns))
         held, rows = [[x[whole:] for x in columns]], rows - whole
     if rows:
-        yield join(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from join(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """``a, b``: pairs of first longs whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more.
 
     ``nodes``: w0, w1, ... and ``row``, one for each first long; ``texts``: ``row, text``. Candidates come from the tries over all words of the
-    wide fingerprints; the similarity is then exact, from shingle hashes of the texts that are in a candidate pair.
+    wide fingerprints; the similarity is then exact, from shingle hashes of the texts that are in a candidate pair. First as few pairs are tested as
+    connect all candidates; then all candidate pairs between components of verified links that a failed pair joins. So the links connect what all
+    similar candidates connect.
     """
     wide = [f"w{k}" for k in range(WIDE)]
     half = [x for k in range(WIDE) for x in (F.shiftrightunsigned(F.col(f"w{k}"), 32), F.col(f"w{k}").bitwiseAND(0xFFFFFFFF))]
-    words = nodes.select(*wide, F.posexplode(F.array(*half)).alias("path", "rot")).select((F.col("path") + 1).cast("bigint").alias("path"), "rot", *wide)
-    pairs = cut(_spread(words, wide, BITS // 2, WORD_BUDGET + 1).mapInArrow(_candidates, "a bigint, b bigint").distinct())
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.select(F.col("w0").alias("node"), "row").join(ends, "node").join(texts, "row").select("node", "text")
-    sets = stage_table(chosen.select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    def candidates(rows: DataFrame, keep: list[str], join) -> DataFrame:
+        words = rows.select(*keep, F.posexplode(F.array(*half)).alias("path", "rot")).select((F.col("path") + 1).cast("bigint").alias("path"), "rot", *keep)
+        return _spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(join, "a bigint, b bigint").distinct()
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """The pairs with ``similar``."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        chosen = nodes.select(F.col("w0").alias("node"), "row").join(ends, "node").join(texts, "row").select("node", "text")
+        sets = stage_table(chosen.select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return cut(both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("similar")))
+
+    first = tested(cut(candidates(nodes, wide, _candidates)))
+    links, failed = first.filter("similar").select("a", "b"), first.filter("not similar").select("a", "b")
+    # a failed pair that joins two components of verified links hides what other pairs of theirs would join: those are all tested
+    roots = connected_components(links)
+    component = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = failed.join(component("a"), "a", "left").join(component("b"), "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+    opened = cut(ends.select(F.col("x").alias("component")).unionByName(ends.select(F.col("y").alias("component"))).distinct())
+    if opened.isEmpty():
+        return links
+    placed = nodes.join(roots.withColumnRenamed("node", "w0"), "w0", "left").withColumn("component", F.coalesce("root", "w0"))
+    again = cut(placed.join(opened, "component", "left_semi").select(*wide, "component"))
+    more = tested(cut(candidates(again, [*wide, "component"], _apart).join(failed, ["a", "b"], "left_anti")))
+    return links.unionByName(more.filter("similar").select("a", "b"))
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
