@@ -104,3 +104,21 @@ def test_all_candidates_are_connected(monkeypatch):
         want = (np.bitwise_count(rot[i] ^ rot[j]) <= simhash.WORD_BUDGET) & (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= 10)
         root = simhash.forest(n, iter([simhash.spanning(n, simhash._wide_pairs(rot, np.zeros(n, np.int64), wide, 0))]))
         assert (root[i[want]] == root[j[want]]).all()
+
+
+@pytest.mark.parametrize("kind", ["replaced", "extended", "truncated"])
+def test_block_edits_at_the_bound_are_found(spark, kind):
+    rng, rows = random.Random(21), []
+    vocabulary = [f"t{i}" for i in range(5000)]
+    pairs = 100
+    for p in range(pairs):
+        n = rng.choice((150, 300, 600))
+        base = rng.choices(vocabulary, k=n)
+        m = {"replaced": (n - 40) // 9, "extended": (n - 4) // 4, "truncated": (n - 4) // 5}[kind]
+        at = rng.randrange(5, n - m - 5)
+        other = {"replaced": base[:at] + rng.choices(vocabulary, k=m) + base[at + m :], "extended": base + rng.choices(vocabulary, k=m), "truncated": base[: n - m]}[kind]
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.82
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(other))]
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert kept - pairs <= 0.05 * pairs

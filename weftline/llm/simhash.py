@@ -22,7 +22,8 @@ JOIN_ROWS, PAIRS = 100_000, 500_000
 SHINGLES = 100_000
 #: Longs of a wide fingerprint. Each half of one is a word of a trie of its own; pairs that any of them finds within
 #: WORD_BUDGET bits are candidates if all longs together differ by WIDE_BUDGET bits at most.
-WIDE, WORD_BUDGET, WIDE_BUDGET = 4, 2, 44
+#: Set for pairs of similarity 0.8 that differ in one block (about 15 % of the bits): 0.98 of them have such a word, and 80 bits is 3.5 deviations above their mean.
+WIDE, WORD_BUDGET, WIDE_BUDGET = 6, 3, 80
 #: Bits of all longs within which rows of one word are represented by one of them in the first round of candidates.
 RADIUS = 4
 
