@@ -328,6 +328,34 @@ def test_recall_of_edited_passages(spark, sf):
     assert sum(w in {g[0] for g in r} for w, r in zip(want, got, strict=True)) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_recall_up_to_the_edits_allowed(spark, sf, share):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng, texts, want = random.Random(3), [], []
+    for i, t in items * 2:
+        c = list(t)
+        for p in rng.sample(range(len(c)), int(share * len(decontaminate.normalized(t)))):
+            x = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            c[p] = rng.choice((x, "", c[p] + x))
+        own, edited = decontaminate.normalized(t), "".join(c)
+        if decontaminate.myers(own, decontaminate.normalized(edited))[0] > share * len(own):
+            continue  # an edit beside punctuation can count twice
+        texts.append(" ".join(["pad"] * rng.randrange(30) + [edited] + ["pad"] * 9))
+        want.append(i)
+    got = list(decontaminate.Index(items).search(pa.array(texts)))
+    assert sum(w in {g[0] for g in r} for w, r in zip(want, got, strict=True)) >= 0.9 * len(want)
+
+
+def test_myers_stops_only_beyond_most():
+    rng = random.Random(6)
+    for _ in range(300):
+        p, t = ("".join(rng.choices("ab", k=rng.randrange(1, 12))) for _ in range(2))
+        exact = decontaminate.myers(p, t)
+        for most in range(4):
+            d = decontaminate.myers(p, t, most)
+            assert d == exact if exact[0] <= most else d[0] > most
+
+
 def test_myers_by_hand():
     rng = random.Random(4)
     for _ in range(200):
