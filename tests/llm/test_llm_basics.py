@@ -147,6 +147,14 @@ def test_toxicity_learns_spells_and_quotes(spark, odd, empty):
     assert toxicity.spans(docs, model).filter("end - start < 5").isEmpty()
 
 
+def test_several_misspelled_terms_are_toxic(spark):
+    model = toxicity.train(*toxic_fixture(spark))
+    text = "taka lope dundrepate mido neno grumblhead suvi ralu nincompop tado"
+    assert {(h.term, h.edits) for h in model.hits(text)} == {("dunderpate", 1), ("grumblehead", 1), ("nincompoop", 1)}
+    assert model.score(text) >= model.threshold
+    assert model.score(text) > model.score(text.replace("grumblhead", "mido")) > model.score("dundrepate " * 500)
+
+
 # 3
 def test_license_scan(spark, odd, empty):
     mit = dict(licenses.KNOWN)["MIT"]

@@ -20,6 +20,8 @@ WORD = re.compile(r"\w+")
 WINDOW = 6
 #: Terms of so many letters may be misspelled by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 5, 12
+#: What a misspelled hit counts beside one as written, in terms, crowding and density.
+MISSPELLED = 0.5
 #: Words that report speech or mention a term, in the four languages of the tables.
 REPORTING = frozenset(
     "said says called quote quoted term word slur insult wrote sagte nannte zitat begriff wort schrieb dit disait terme mot citation insulte dijo dicho llamó palabra término cita insulto".split()
@@ -196,15 +198,20 @@ class ToxicityModel:
         hits = list(seen.values())
         weight = lambda h: self.misspelled.get(h.term, 0.0) if h.edits else self.weights[h.term]
         mass = lambda keep: math.log1p(sum(weight(h) for h in hits if keep(h)))
-        plain = [h for h in hits if not h.quoted and not h.edits]
-        starts, most, at = [h.start for h in plain], 0, 0
-        for i, s in enumerate(starts):  # the most hits within about a window of text
-            while s - starts[at] > 12 * WINDOW:
+        # a misspelled hit is a part of one, if near spellings of its term stand rather in toxic texts
+        share = lambda h: 1.0 if not h.edits else MISSPELLED if weight(h) > 0 else 0.0
+        plain = [(h, share(h)) for h in hits if not h.quoted and share(h)]
+        terms, most, within, at = {}, 0.0, 0.0, 0
+        for h, x in plain:  # the most hits within about a window of text
+            terms[h.term] = max(x, terms.get(h.term, 0.0))
+            within += x
+            while h.start - plain[at][0].start > 12 * WINDOW:
+                within -= plain[at][1]
                 at += 1
-            most = max(most, i - at + 1)
+            most = max(most, within)
         return (
             mass(lambda h: not h.edits and not h.quoted), mass(lambda h: h.edits and not h.quoted), mass(lambda h: h.quoted),
-            math.log1p(len({h.term for h in plain})), math.log1p(max(0, most - 1)), math.log1p(1000 * len(plain) / (1 + len(text) / 6)),
+            math.log1p(sum(terms.values())), math.log1p(max(0.0, most - 1)), math.log1p(1000 * sum(x for _, x in plain) / (1 + len(text) / 6)),
         )
 
     def probability(self, features) -> float:
