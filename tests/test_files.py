@@ -1,23 +1,27 @@
 import hashlib
 import random
+import threading
+import time
 
 import pytest
 
-from weftline import cli
-from weftline.operators import dictionary, order
+from weftline import baselines, cli, staging
+from weftline.operators import dictionary, merge, order
+from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, format_size, hardware_report, parse_size
 from weftline.plans import files as plans
-from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, format_size, parse_size
-from weftline.plans.files import generate_file, sort_file
+from weftline.plans.files import generate_file, make_runs, merge_file, rebuild_run, sort_file
+from weftline.sinks import files as sinks
 from weftline.plans.strategy import choose_strategy, shard_count
 from weftline.sources.generator import generate_rows, phrase_pool
-from weftline.sources.text_lines import parse_lines
+from weftline.sources.text_lines import parse_lines, read_run
 
+#: Five lines, and texts by the line's number modulo 7, whose sorted files have known digests.
 SPEC = ["415. Apple", "30432. Something something something", "1. Apple", "32. Cherry is the best", "2. Banana is yellow"]
-MIXED = ["Apple", "Банан", "日本語", "\U00010000\U00010001\U00010002", None, "Café", None]
+MIXED = ["Apple", "Банан", "日本語", "\U00010000\U00010001\U00010002", "ﾀ{i}", "Café", "Z{i}"]
 
 
 def mixed(i):
-    return {4: f"ﾀ{i}", 6: f"Z{i}"}.get(i % 7) or MIXED[i % 7]
+    return MIXED[i % 7].format(i=i)
 
 
 #: name: lines, SHA-256 of the sorted file
@@ -127,13 +131,145 @@ def test_dictionary_fits_or_declines(spark, monkeypatch):
     assert dictionary.sort_by_dictionary(few.filter("false"), 4) is None
 
 
-def test_dictionary_ranges_are_even_and_ordered():
-    counts, lows, highs = [5, 90, 5, 0], [0, 0, 3, 9], [9, 9, 3, 9]
-    bounds = dictionary.cut(counts, lows, highs, 10, 0, 4)
-    assert len(bounds) == 3 and list(bounds) == sorted(bounds)
-    keys = [r * 10 + lows[r] + (highs[r] - lows[r] + 1) * i // n for r, n in enumerate(counts) for i in range(n)]
-    sizes = [sum(dictionary.place(bounds, k) == p for k in keys) for p in range(4)]
-    assert max(sizes) <= 35
+@pytest.mark.parametrize("ranges", [1, 4, 3000])
+def test_dictionary_ranges_are_even_and_ordered(ranges):
+    counts, lows, highs = [50, 9000, 70, 1, 800], [0, -500, 3, 9, 1 << 40], [9, 9999, 3, 9, 1 << 41]
+    total, before, places, last = sum(counts), 0, [], -1
+    for n, low, high in zip(counts, lows, highs, strict=True):
+        for i in range(n):
+            place = min(ranges - 1, int(dictionary.range_of(low + (high - low + 1) * i // n, before, n, low, high - low + 1, total, ranges)))
+            assert place >= last  # in the order of the records
+            places.append(last := place)
+        before += n
+    sizes = [places.count(r) for r in range(ranges)]
+    assert max(sizes) <= total / ranges + 71  # a text's rows of one number stay together
+
+
+def test_dictionary_sort_takes_any_number_of_ranges(spark):
+    rows = spark.range(4000).selectExpr("pmod(xxhash64(id), 1000) number", "concat('t', id % 7) text")
+    got = dictionary.sort_by_dictionary(rows, 1200)
+    assert got.rdd.getNumPartitions() == 1200
+    assert [tuple(r) for r in got.collect()] == sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[1], r[0]))
+
+
+def numbered(seed, n, texts=("b", "a", "", "zz", "é", "\U00010000", "ﾀ")):
+    rng = random.Random(seed)
+    return "".join(f"{rng.randint(-99, 99)}. {rng.choice(texts)}\n" for _ in range(n)).encode()
+
+
+def test_baselines_give_the_same_bytes(spark, tmp_path):
+    data = numbered(3, 2500)
+    want = run(spark, tmp_path, data)
+    baselines.sort_in_memory(str(tmp_path / "in.txt"), str(tmp_path / "b1"))
+    assert baselines.sort_sequentially(str(tmp_path / "in.txt"), str(tmp_path / "b2"), 400) == 7
+    assert (tmp_path / "b1").read_bytes() == (tmp_path / "b2").read_bytes() == want
+    (tmp_path / "in.txt").write_bytes(b"1. a\nbad\n")
+    with pytest.raises(ValueError, match="Malformed line"):
+        baselines.sort_in_memory(str(tmp_path / "in.txt"), str(tmp_path / "b1"))
+
+
+@pytest.mark.parametrize("width", [2, 3, 64])
+def test_runs_are_made_and_merged_apart(spark, tmp_path, width):
+    data = numbered(4, 6000)
+    want = run(spark, tmp_path, data)
+    runs = make_runs(spark, str(tmp_path / "in.txt"), str(tmp_path / "runs"), SortOptions(chunk_bytes=len(data) // 6))
+    assert runs >= 5
+    for n in merge.run_numbers(spark, str(tmp_path / "runs")):
+        rows = [(r.text.encode(), r.number) for r in spark.read.parquet(str(tmp_path / f"runs/run={n}")).collect()]
+        assert rows == sorted(rows)
+    assert merge_file(spark, str(tmp_path / "runs"), str(tmp_path / "merged"), SortOptions(merge_width=width)) == len(want)
+    assert (tmp_path / "merged").read_bytes() == want
+
+
+def test_a_level_joins_neighbouring_runs_in_order(spark, tmp_path):
+    rows = spark.range(900).selectExpr("id number", "cast(xxhash64(id) as string) text", "id % 9 as n")
+    merge.write_runs(rows, str(tmp_path / "runs"), "n")
+    merge.merge_level(spark, str(tmp_path / "runs"), 4, str(tmp_path / "level"))
+    assert merge.run_numbers(spark, str(tmp_path / "level")) == [0, 1, 2]
+    for n in range(3):
+        files = sorted((tmp_path / f"level/run={n}").glob("part-*"))
+        got = [r.text for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert got == sorted(r.text for r in rows.filter(f"n div 4 = {n}").collect())
+    with pytest.raises(ValueError):
+        merge.merge_runs(spark, str(tmp_path / "runs"), 1)
+
+
+def test_a_run_is_rebuilt_from_text(spark, tmp_path):
+    (tmp_path / "t").write_bytes(b"1. a\nno separator\n2. b\n")
+    rebuild_run(spark, str(tmp_path / "t"), str(tmp_path / "run"))
+    assert [(r.number, r.text) for r in read_run(spark, str(tmp_path / "run")).orderBy("number").collect()] == [(1, "a"), (2, "b")]
+    sinks.write_run(order.sort_lines(read_run(spark, str(tmp_path / "run"))), str(tmp_path / "first"), 1)
+    assert [r.text for r in read_run(spark, str(tmp_path / "first")).collect()] == ["a"]
+
+
+def test_large_results_stay_part_files(spark, tmp_path):
+    data, said = numbered(5, 3000), []
+    want = run(spark, tmp_path, data)
+    assert sort_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "parts"), SortOptions(single_bytes=1000, partitions=4, strategy="shard"), progress=said.append) == 0
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "parts").glob("part-*"))) == want
+    assert "3000 records" in said[-1] and "part files" in said[0]
+    with pytest.raises(ValueError, match="part files"):
+        sinks.concat_parts(spark, str(tmp_path / "parts"), str(tmp_path / "one"), 1000)
+    assert not (tmp_path / "one").exists()
+    assert sinks.concat_parts(spark, str(tmp_path / "parts"), str(tmp_path / "one")) == len(want)
+
+
+def test_full_disk_is_told_before_the_sort(spark, tmp_path, monkeypatch):
+    (tmp_path / "in.txt").write_bytes(b"1. a\n" * 1000)
+    asked = []
+
+    def usage(folder):
+        asked.append(folder)
+        return type("Usage", (), {"free": 7000})
+
+    monkeypatch.setattr(plans.shutil, "disk_usage", usage)
+    sort_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), SortOptions(strategy="stream", temp_dir="/anywhere"))
+    with pytest.raises(OSError, match="free"):
+        sort_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), SortOptions(strategy="shard", temp_dir="/anywhere"))
+    assert asked == ["/anywhere"] * 2
+
+
+def test_the_chunk_bounds_what_a_scan_task_reads(spark, tmp_path):
+    (tmp_path / "in.txt").write_bytes(b"1. abcdefgh\n" * 50_000)
+    own = plans.chunked(spark, 50_000)
+    assert own is not spark and own.read.text(str(tmp_path / "in.txt")).rdd.getNumPartitions() >= 12
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert plans.chunked(spark, 1 << 40) is spark and spark.read.text(str(tmp_path / "in.txt")).rdd.getNumPartitions() <= 8
+
+
+def test_a_sort_is_cancelled_by_its_group(spark, tmp_path):
+    (tmp_path / "in.txt").write_bytes(numbered(6, 400_000))
+    errors = []
+
+    def work():
+        try:
+            while True:
+                sort_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), SortOptions(strategy="shard"), job_group="to-cancel")
+        except Exception as e:
+            errors.append(str(e))
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(300):
+        if thread.is_alive():
+            time.sleep(0.1)
+            spark.sparkContext.cancelJobGroup("to-cancel")
+    thread.join(60)
+    assert errors and "cancel" in errors[0].lower()
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_staged_tables_are_deleted(spark, tmp_path):
+    staging.release(spark)
+    with staging.owned(spark):
+        spark.range(3).write.parquet(path := staging.staged_path(spark, "t"))
+        assert spark.read.parquet(path).count() == 3
+    at, fs = staging.hadoop_path(spark, path)
+    assert not fs.exists(at)
+    spark.range(3).write.parquet(path := staging.staged_path(spark, "t"))
+    assert staging.release(spark) == 1 and staging.release(spark) == 0
+    run(spark, tmp_path, b"1. a\n")
+    assert staging.release(spark) == 0
 
 
 def test_generator(spark, tmp_path):
@@ -148,7 +284,7 @@ def test_generator(spark, tmp_path):
     assert generate_rows(spark, 500, options, 3).exceptAll(generate_rows(spark, 500, options, 8)).isEmpty()
     assert len(set(phrase_pool(GeneratorOptions(phrases=500)))) == 500
     with pytest.raises(ValueError):
-        phrase_pool(GeneratorOptions(phrases=10**8)) if False else GeneratorOptions(phrases=0)
+        GeneratorOptions(phrases=0)
 
 
 def test_rank_on_empty_and_null_rows(spark):
@@ -159,6 +295,27 @@ def test_rank_on_empty_and_null_rows(spark):
     assert order.violations(spark.createDataFrame([(1, "b", 1), (1, "a", 2), (0, "a", 3)], "number bigint, text string, rn bigint")).first()[0] == 2
 
 
+def test_ranks_follow_the_order_of_any_plan_and_names_may_clash(spark):
+    rows = spark.range(500).selectExpr("cast(xxhash64(id) % 50 as bigint) number", "cast(id % 7 as string) text", "id as at", "1 as _at", "2 as part", "3 as rn2")
+    for made in (order.sort_lines(rows), order.sort_single(rows), order.sort_shard(rows, 5)):
+        assert "Sort" in made._jdf.queryExecution().executedPlan().toString()
+        got = order.ranked(made).orderBy("rn").collect()
+        assert [r.rn for r in got] == list(range(1, 501)) and got[0].asDict().keys() == {*rows.columns, "rn"}
+        assert [(r.text, r.number) for r in got] == sorted((r.text, r.number) for r in got)
+
+
+def test_first_seen_breaks_ties_by_position(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (1, "a", 7), (None, "a", 8), (2, None, 9), (2, None, 9), (3, "b", 1)], "number bigint, text string, at int").coalesce(1)
+    got = [(r.number, r.text, r.seen_before) for r in order.first_seen(rows).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "a", True), (1, "a", True), (None, "a", False), (2, None, False), (2, None, True), (3, "b", False)], key=repr)
+    assert order.first_seen(rows.filter("false")).count() == 0
+
+
+def test_hardware_report():
+    lines = hardware_report(SortOptions(chunk_bytes=1 << 20, threads=3), 5, 8 << 30)
+    assert "parallelism 5" in lines[0] and "8.0 GB" in lines[0] and "1 MB" in lines[1] and "merge width 64" in lines[2]
+
+
 def test_sizes_and_strategy():
     assert [parse_size(x) for x in ("10KB", " 1.5 mb", "2GB", "77")] == [10240, 1572864, 2 << 30, 77]
     for bad in ("1TB", "x", "1e3KB", "5B"):

@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, parse_size
+from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, hardware_report, parse_size
 from weftline.plans.files import generate_file, sort_file
 
 
@@ -37,8 +37,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def session(threads: int, temp: str | None) -> SparkSession:
+def session(threads: int, temp: str | None, buffer: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName("weftline").config("spark.ui.enabled", "false")
+    if buffer:
+        builder = builder.config("spark.shuffle.file.buffer", f"{max(1, buffer >> 10)}k")
     if "SPARK_MASTER" not in os.environ and not SparkSession.getActiveSession():
         builder = builder.master(f"local[{threads}]")
     if temp:
@@ -58,8 +60,8 @@ def main(args: list[str] | None = None) -> int:
             generate_file(spark, a.output, a.size, GeneratorOptions(a.phrases, a.max_number, a.seed))
             return 0
         options = SortOptions(chunk_bytes=a.memory or default_chunk_bytes(), threads=a.threads, strategy=a.strategy, blank_lines=a.blank_lines, on_error=a.on_error, merge_width=a.merge_width, buffer_bytes=a.buffer, workers=a.workers, temp_dir=a.temp)
-        spark = session(a.threads, a.temp)
-        print(f"parallelism {spark.sparkContext.defaultParallelism}, chunk {options.chunk_bytes} bytes")
+        spark = session(min(a.threads, a.workers or a.threads), a.temp, a.buffer)
+        print("\n".join(hardware_report(options, spark.sparkContext.defaultParallelism)))
         sort_file(spark, a.input, a.output, options, single=not a.parts, progress=print)
         return 0
     except KeyboardInterrupt:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import lines as L
+from weftline.functions.columns import free_name, long_array
+from weftline.staging import shared_dir
 
 KEYS = ("text", "number")
 
@@ -28,10 +29,15 @@ def sort_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.repartitionByRange(shards, *KEYS).sortWithinPartitions(*KEYS)
 
 
-def sorted_runs(df: DataFrame, run: str) -> DataFrame:
-    """``rn``: place of each row in its run. A run is a value of the column ``run``."""
-    w = Window.partitionBy(run).orderBy(*KEYS)
-    return df.withColumn("rn", F.row_number().over(w).cast("bigint"))
+def generate_runs(df: DataFrame) -> DataFrame:
+    """Each partition sorted where it lies, without an exchange: a partition is a run."""
+    return df.sortWithinPartitions(*KEYS)
+
+
+def sorted_runs(df: DataFrame, run: str, runs: int) -> DataFrame:
+    """``rn``: place of each row in its run. ``run`` is a column of numbers from 0 to ``runs`` - 1; each run is made the partition of that number and sorted there."""
+    placed = generate_runs(df.repartitionById(runs, F.col(run).cast("int")))
+    return placed.withColumn("rn", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)
 
 
 def merge_groups(run: F.Column, width: int) -> F.Column:
@@ -39,29 +45,32 @@ def merge_groups(run: F.Column, width: int) -> F.Column:
     return F.floor(run / width).cast("bigint")
 
 
-def with_rank(df: DataFrame, *keys: str, partitions: int | None = None, name: str = "rn") -> DataFrame:
-    """``name``: the global 1-based place in the order of ``keys``, ties in any order.
+def ranked(ordered: DataFrame, name: str = "rn") -> DataFrame:
+    """``name``: the 1-based place of each row of a frame that is in order from partition to partition.
 
-    Ranges are sorted apart; a row's rank is its place in its range plus the rows of the ranges before it,
-    of which the driver gets one count a range. No window runs over all rows in one task. The ranges are kept
-    (memory, then disk) so that counts and places come from the same ones; a lost executor's ranges are
-    made again with the same bounds.
+    A row's rank is its place in its partition plus the rows of the partitions before it, of which the driver gets one count
+    each. No window runs over all rows in one task. The ordered rows are checkpointed in the shared folder, so that counts and places come
+    from the same partitions, and a lost executor costs nothing.
     """
+    at, part = free_name(ordered, "at"), free_name(ordered, "part")
+    shared_dir(ordered.sparkSession)
+    placed = ordered.withColumn(at, F.monotonically_increasing_id()).checkpoint(eager=True)
+    counts = dict(placed.groupBy(F.shiftright(at, 33).cast("int").alias(part)).count().collect())
+    before = long_array([0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))])
+    return placed.withColumn(name, F.element_at(before, F.shiftright(at, 33).cast("int") + 1) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at)
+
+
+def with_rank(df: DataFrame, *keys: str, partitions: int | None = None, name: str = "rn") -> DataFrame:
+    """``name``: the global 1-based place in the order of ``keys``, ties in any order. Ranges are sorted apart."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    at = F.monotonically_increasing_id()
-    placed = ranged.withColumns({"_range": F.shiftright(at, 33).cast("int"), "_at": at.bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = dict(placed.groupBy("_range").count().collect())
-    before = [0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))]
-    offsets = F.array(*(F.lit(x).cast("bigint") for x in before))
-    return placed.withColumn(name, F.element_at(offsets, F.col("_range") + 1) + F.col("_at") + 1).drop("_range", "_at")
+    return ranked(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), name)
 
 
 def sort_prefix(df: DataFrame, n: int, by: str = "number") -> DataFrame:
     """``number, text, rn``: the first ``n`` rows in the order of ``by`` are sorted among themselves, all others keep their places."""
-    placed = with_rank(df, by, name="_pos")
-    head = with_rank(placed.filter(F.col("_pos") <= n).drop("_pos"), *KEYS)
-    return head.select("number", "text", "rn").unionByName(placed.filter(F.col("_pos") > n).select("number", "text", F.col("_pos").alias("rn")))
+    placed = with_rank(df.select(*KEYS, by) if by not in KEYS else df.select(*KEYS), by, name="pos")
+    head = ranked(sort_lines(placed.filter(F.col("pos") <= n).select(*KEYS)))
+    return head.select("number", "text", "rn").unionByName(placed.filter(F.col("pos") > n).select("number", "text", F.col("pos").alias("rn")))
 
 
 def shard_rank(df: DataFrame, shards: int) -> DataFrame:
@@ -74,14 +83,18 @@ def shard_rank(df: DataFrame, shards: int) -> DataFrame:
     return with_rank(sharded, "shard", *KEYS)
 
 
-def first_seen(df: DataFrame, by: str = "number") -> DataFrame:
-    """``seen_before``: whether an earlier row (by ``by``) has the same text. Rows stay; only the flag tells.
+def first_seen(df: DataFrame, *by: str) -> DataFrame:
+    """``seen_before``: whether an earlier row has the same text. Earlier is by the columns ``by`` (``number`` if none is given, nulls first), then by position.
 
-    The earliest row of each text comes from an aggregate with partial sums, so a hot text's rows don't meet in one task
-    other than as partial minima; the flag comes back by a join that adaptive execution may split.
+    Rows stay; only the flag tells: of the rows of a text just one has it false, ties and repeated rows included. Null texts are one text. The earliest
+    row of each text comes from an aggregate with partial sums, so a hot text's rows don't meet in one task other than as partial minima; the flag comes back
+    by a join that adaptive execution may split. Positions are fixed by a checkpoint, so both sides see the same.
     """
-    firsts = df.groupBy("text").agg(F.min(by).alias("_first"))
-    return df.join(firsts, df["text"].eqNullSafe(firsts["text"])).select(df["*"], (df[by] > firsts["_first"]).alias("seen_before"))
+    at, first, same = free_name(df, "at"), free_name(df, "first"), free_name(df, "same")
+    shared_dir(df.sparkSession)
+    placed = df.withColumn(at, F.monotonically_increasing_id()).checkpoint(eager=True)
+    firsts = placed.groupBy(F.col("text").alias(same)).agg(F.min(F.struct(*(by or ("number",)), at))[at].alias(first))
+    return placed.join(firsts, placed["text"].eqNullSafe(firsts[same])).select(*(placed[c] for c in df.columns), (F.col(at) != F.col(first)).alias("seen_before"))
 
 
 def chunk_estimate(df: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def machine_memory() -> int:
 
 
 def default_chunk_bytes(memory: int | None = None) -> int:
-    """A quarter of the memory, under a ceiling that grows with the machine."""
+    """A quarter of the memory, under a ceiling that grows with the machine (the ceilings are fixed values)."""
     memory = machine_memory() if memory is None else memory
     ceiling = next(cap for least, cap in ((64 * GIB, 8 * GIB), (32 * GIB, 4 * GIB), (8 * GIB, 2 * GIB), (0, GIB)) if memory >= least)
     return min(memory // 4, ceiling)
@@ -55,8 +55,9 @@ def default_chunk_bytes(memory: int | None = None) -> int:
 class SortOptions:
     """``blank_lines``: "error" or "skip"; ``on_error``: "fail" or "quarantine".
 
-    ``chunk_bytes`` and ``threads`` only choose the plan's shape. ``merge_width``, ``buffer_bytes`` and
-    ``workers`` are accepted so that callers can keep their settings: Spark sizes these by itself.
+    ``chunk_bytes`` bounds what one scan task reads and, with ``threads``, chooses the plan's shape. ``merge_width`` is that of a merge of runs.
+    ``temp_dir`` is where free disk is looked for; ``buffer_bytes``, ``workers`` and ``temp_dir`` are settings of the session that the command line
+    makes (shuffle buffer, task slots, local folder), as a running session's are fixed. Results above ``single_bytes`` stay part files.
     """
 
     chunk_bytes: int = field(default_factory=default_chunk_bytes)
@@ -70,6 +71,7 @@ class SortOptions:
     buffer_bytes: int = 4 * MIB
     workers: int | None = None
     temp_dir: str | None = None
+    single_bytes: int = 16 * GIB
 
     def __post_init__(self) -> None:
         if self.blank_lines not in ("error", "skip") or self.on_error not in ("fail", "quarantine"):
@@ -87,3 +89,13 @@ class GeneratorOptions:
     def __post_init__(self) -> None:
         if self.phrases < 1 or self.max_number < 1:
             raise ValueError("phrases and max_number are 1 at least")
+
+
+def hardware_report(options: SortOptions, parallelism: int, memory: int | None = None) -> list[str]:
+    """What the machine has and what a job takes of it, a line each."""
+    memory = machine_memory() if memory is None else memory
+    return [
+        f"cores {os.cpu_count() or 1}, memory {format_size(memory)}, parallelism {parallelism}",
+        f"chunk {format_size(options.chunk_bytes)}, threads {options.threads}, workers {options.workers or options.threads}",
+        f"merge width {options.merge_width}, buffer {format_size(options.buffer_bytes)}, temporary folder {options.temp_dir or 'default'}",
+    ]

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import lines as L
-from weftline.operators import order
+from weftline.operators import merge, order
 from weftline.options import GeneratorOptions
-from weftline.sinks.files import write_run
-from weftline.sources.generator import generate_rows
+from weftline.sinks.files import concat_parts, write_parts, write_run
+from weftline.sources import generator
 from weftline.sources.text_lines import parse_lines, read_run, scan_text
 from weftline.staging import staged_path
 
@@ -59,27 +59,27 @@ EVENTS_RANKED = "SELECT event_id AS number, event_type AS text, row_number() OVE
 
 @query(EVENTS_RANKED)
 def sort_full(spark, d):
-    return order.with_rank(order.sort_lines(events(spark, d)), *order.KEYS)
+    return order.ranked(order.sort_lines(events(spark, d)))
 
 
 @query(EVENTS_RANKED)
 def sort_single(spark, d):
-    return order.with_rank(events(spark, d), *order.KEYS, partitions=1)
+    return order.ranked(order.sort_single(events(spark, d)))
 
 
 @query(EVENTS_RANKED)
 def sort_shard(spark, d):
-    return order.with_rank(events(spark, d), *order.KEYS, partitions=SHARDS)
+    return order.ranked(order.sort_shard(events(spark, d), SHARDS))
 
 
 @query("SELECT doc_id AS number, text, row_number() OVER (ORDER BY text NULLS FIRST, doc_id NULLS FIRST) AS rn FROM documents")
 def sort_unicode(spark, d):
-    return order.with_rank(documents(spark, d), *order.KEYS)
+    return order.ranked(order.sort_lines(documents(spark, d)))
 
 
 @query("SELECT turn AS number, role AS text, row_number() OVER (ORDER BY role NULLS FIRST, turn NULLS FIRST) AS rn FROM conversations")
 def sort_ties(spark, d):
-    return order.with_rank(table(spark, d, "conversations").select(F.col("turn").alias("number"), F.col("role").alias("text")), *order.KEYS)
+    return order.ranked(order.sort_lines(table(spark, d, "conversations").select(F.col("turn").alias("number"), F.col("role").alias("text"))))
 
 
 @query(f"""WITH p AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS pos FROM events)
@@ -95,19 +95,21 @@ def runs(spark, d):
 
 @query(f"SELECT event_id AS number, event_type AS text, event_id % {RUNS} AS run, row_number() OVER (PARTITION BY event_id % {RUNS} ORDER BY event_type NULLS FIRST, event_id) AS rn FROM events")
 def sorted_runs(spark, d):
-    return order.sorted_runs(runs(spark, d), "run")
+    return order.sorted_runs(runs(spark, d), "run", RUNS)
 
 
 @query(f"""SELECT event_id AS number, event_type AS text, (event_id % {RUNS}) // {WIDTH} AS merge_group,
 row_number() OVER (PARTITION BY (event_id % {RUNS}) // {WIDTH} ORDER BY event_type NULLS FIRST, event_id) AS rn FROM events""")
 def merge_groups(spark, d):
     grouped = runs(spark, d).withColumn("merge_group", order.merge_groups(F.col("run"), WIDTH)).drop("run")
-    return order.sorted_runs(grouped, "merge_group")
+    return order.sorted_runs(grouped, "merge_group", RUNS // WIDTH)
 
 
 @query(f"SELECT event_id AS number, event_type AS text, event_id % {RUNS} AS run, row_number() OVER (ORDER BY event_type NULLS FIRST, event_id) AS rn FROM events")
 def merge_runs(spark, d):
-    return order.with_rank(runs(spark, d), *order.KEYS)
+    """Sixteen sorted runs in files, merged four at a time: one level to four runs, then the last merge."""
+    merge.write_runs(runs(spark, d).withColumn("of", F.col("run")), path := staged_path(spark, "runs"), "run")
+    return order.ranked(merge.merge_runs(spark, path, WIDTH)).withColumnRenamed("of", "run")
 
 
 @query("SELECT concat(p_partkey, '. ', p_name) AS value FROM part")
@@ -205,15 +207,34 @@ def shard_histogram(spark, d):
 
 
 @query(f"SELECT doc_id AS number, text, {SHARD} AS shard, row_number() OVER (ORDER BY text NULLS FIRST, doc_id) AS rn FROM documents")
-def shard_concat(spark, d):
+def shard_rank(spark, d):
     return order.shard_rank(documents(spark, d), SHARDS)
 
 
+ONE_LINE = "translate(coalesce(text, ''), chr(10) || chr(13), '  ')"
+
+
+@query(f"SELECT doc_id AS number, {ONE_LINE} AS text, row_number() OVER (ORDER BY {ONE_LINE}, doc_id) AS rn FROM documents")
+def shard_concat(spark, d):
+    """Shards sorted apart, written as files, joined to one in their order; the rank is the line's place in it."""
+    lines = documents(spark, d).withColumn("text", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  "))
+    write_parts(order.sort_shard(lines, SHARDS), parts := staged_path(spark, "parts"))
+    concat_parts(spark, parts, target := staged_path(spark, "joined"))
+    return order.ranked(parse_lines(scan_text(spark, target)))
+
+
 @query("SELECT event_id AS number, event_type AS text, row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 1 AS seen_before FROM events")
 def first_seen(spark, d):
     return order.first_seen(events(spark, d))
 
 
+@query("SELECT turn AS number, role AS text, count(*) AS n, count(*) - CASE WHEN min(turn) OVER (PARTITION BY role) = turn THEN 1 ELSE 0 END AS seen_before FROM conversations GROUP BY turn, role")
+def first_seen_ties(spark, d):
+    """Turns repeat: of all rows that share a role's first turn just one is the first."""
+    seen = order.first_seen(table(spark, d, "conversations").select(F.col("turn").alias("number"), F.col("role").alias("text")))
+    return seen.groupBy("number", "text").agg(F.count("*").alias("n"), F.count_if("seen_before").alias("seen_before"))
+
+
 @query("SELECT count(DISTINCT p_name) AS distinct_texts FROM part")
 def distinct_texts(spark, d):
     return parts(spark, d).agg(F.count_distinct("text").alias("distinct_texts"))
@@ -226,7 +247,17 @@ def chunk_estimate(spark, d):
 
 @query("SELECT count(*) AS line_count FROM lineitem")
 def line_count(spark, d):
-    return table(spark, d, "lineitem").agg(F.count("*").alias("line_count"))
+    """The accumulator that a running job fills: what is counted is what a job reads, with no pass of its own."""
+    seen = Observation()
+    table(spark, d, "lineitem").select("l_orderkey").observe(seen, F.count(F.lit(1)).alias("line_count")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["line_count"],)], "line_count bigint")
+
+
+@query(f"SELECT event_id % {RUNS} AS run, count(*) AS records FROM events GROUP BY 1")
+def chunk_records(spark, d):
+    """Records of each run, from the files that were written for it."""
+    merge.write_runs(runs(spark, d), path := staged_path(spark, "runs"), "run")
+    return merge.read_runs(spark, path).groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("records"))
 
 
 @query("SELECT CAST(sum(length(CAST(doc_id AS VARCHAR)) + 2 + octet_length(encode(text)) + 1) AS BIGINT) AS line_bytes FROM documents")
@@ -239,6 +270,13 @@ def sortedness_check(spark, d):
     return order.violations(sort_unicode(spark, d))
 
 
+@query("""SELECT count(*) FILTER (pt > event_type OR (pt = event_type AND pn > event_id)) AS violations
+FROM (SELECT event_type, event_id, lag(event_type) OVER (ORDER BY event_id) AS pt, lag(event_id) OVER (ORDER BY event_id) AS pn FROM events)""")
+def violations_found(spark, d):
+    """The same check where rows are out of order: events by their id."""
+    return order.violations(order.with_rank(events(spark, d), "number"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN concat(substring(text, 1, 80), '...') ELSE text END AS shown FROM documents")
 def truncate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", L.truncate_text(F.col("text")).alias("shown"))
@@ -265,7 +303,20 @@ def size_parse(spark, d):
     return table(spark, d, "part").select(k.cast("bigint").alias("p_partkey"), given.alias("given")).withColumn("size", L.size_parse(F.col("given")))
 
 
-@query()
+def _generated_sql(options: GeneratorOptions) -> str:
+    """The generator's law in SQL: phrases by first occurrence among the attempts, then numbers and phrases of each line."""
+    draw = lambda what, i: f"CAST('0x' || left(md5('{options.seed}:{what}:' || {i}), {generator.DIGITS}) AS BIGINT)"
+    vocabulary = generator.words()
+    listed = "[" + ", ".join(f"'{w}'" for w in vocabulary) + "]"
+    word = lambda k: f"{listed}[{draw(f'word{k}', 'i')} % {len(vocabulary)} + 1]"
+    phrase = " || ".join(f"CASE WHEN n > {k} THEN '{' ' if k else ''}' || {word(k)} ELSE '' END" for k in range(4))
+    return f"""WITH tried AS (SELECT i, {phrase} AS p FROM (SELECT i, {draw('words', 'i')} % 4 + 1 AS n FROM range({max(1000, 100 * options.phrases)}) t(i))),
+pool AS (SELECT p, row_number() OVER (ORDER BY min(i)) - 1 AS k FROM (SELECT i, upper(left(p, 1)) || substring(p, 2) AS p FROM tried) GROUP BY p),
+lines AS (SELECT i AS id, {draw('number', 'i')} % {options.max_number} + 1 AS number, {draw('text', 'i')} % {options.phrases} AS k FROM range((SELECT count(*) FROM part)) t(i))
+SELECT id, number, p AS text FROM lines JOIN pool USING (k)"""
+
+
+@query(_generated_sql(GeneratorOptions()))
 def generate_lines(spark, d):
     """As many synthetic lines as there are parts."""
-    return generate_rows(spark, parts(spark, d).count(), GeneratorOptions())
+    return generator.generate_rows(spark, parts(spark, d).count(), GeneratorOptions())

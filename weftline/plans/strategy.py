@@ -19,5 +19,5 @@ def choose_strategy(name: str, size: int, chunk_bytes: int, threads: int) -> str
 
 
 def shard_count(threads: int, file_budget: int, runs: int, merge_width: int) -> int:
-    """As many shards as threads, fewer if each would open too many runs."""
+    """As many shards as threads, fewer if each would open too many runs (a fixed formula)."""
     return min(threads, max(1, file_budget // (min(runs, merge_width) + 1)))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import lines as L
-from weftline.staging import staged_path
+from weftline.staging import hadoop_path, owned, staged_path
+
+#: Bytes that the driver joins to one file; larger results stay part files.
+SINGLE_BYTES = 16 << 30
 
 
 def write_parts(df: DataFrame, path: str) -> None:
@@ -14,18 +17,20 @@ def write_parts(df: DataFrame, path: str) -> None:
     df.select(L.format_line(F.col("number"), F.col("text")).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
-def concat_parts(spark: SparkSession, parts: str, target: str) -> int:
+def concat_parts(spark: SparkSession, parts: str, target: str, most: int = SINGLE_BYTES) -> int:
     """Joins the parts in name order to one file beside the target, then renames it into place. Returns bytes.
 
-    The stream copy runs in the driver's JVM: for results that must be one file. Larger ones stay parts.
+    The stream copy runs in the driver's JVM, so parts of more than ``most`` bytes are refused before any is copied (ValueError).
     """
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source, aim = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(target)
-    fs_in, fs_out = source.getFileSystem(conf), aim.getFileSystem(conf)
+    jvm = spark._jvm
+    (source, fs_in), (aim, fs_out) = hadoop_path(spark, parts), hadoop_path(spark, target)
+    found = sorted((s for s in fs_in.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    if (total := sum(s.getLen() for s in found)) > most:
+        raise ValueError(f"{total} bytes are too many for one file joined by the driver (limit {most}); leave them as part files")
     half = jvm.org.apache.hadoop.fs.Path(f"{target}.inprogress")
-    out, total = fs_out.create(half, True), 0
+    out = fs_out.create(half, True)
     try:
-        for status in sorted((s for s in fs_in.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName()):
+        for status in found:
             if not status.getLen():
                 continue
             stream = fs_in.open(status.getPath())
@@ -33,24 +38,20 @@ def concat_parts(spark: SparkSession, parts: str, target: str) -> int:
                 jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
             finally:
                 stream.close()
-            total += status.getLen()
     finally:
         out.close()
-    fs_out.delete(aim, False)
+    fs_out.delete(aim, True)  # a file, or part files of an earlier run
     if not fs_out.rename(half, aim):
         raise OSError(f"could not rename to {target}")
     return total
 
 
-def write_single(df: DataFrame, target: str) -> int:
+def write_single(df: DataFrame, target: str, most: int = SINGLE_BYTES) -> int:
     """One text file of an ordered frame; an empty frame gives an empty file. Returns bytes."""
-    spark, parts = df.sparkSession, staged_path(df.sparkSession, "parts")
-    try:
-        write_parts(df, parts)
-        return concat_parts(spark, parts, target)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parts)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark = df.sparkSession
+    with owned(spark):
+        write_parts(df, parts := staged_path(spark, "parts"))
+        return concat_parts(spark, parts, target, most)
 
 
 def write_run(df: DataFrame, path: str, count: int | None = None) -> None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import lines as L
@@ -19,11 +19,26 @@ def words() -> list[str]:
     return [a + b for a in ONSETS for b in ENDINGS]
 
 
+#: Hex digits of a draw: 60 bits, so that it is a positive long in any engine.
+DIGITS = 15
+
+
+def drawn(seed: int, what: str, i: int) -> int:
+    """A number of 60 bits: the first hex digits of an MD5. The same law in Python, Spark and any SQL."""
+    return int(hashlib.md5(f"{seed}:{what}:{i}".encode()).hexdigest()[:DIGITS], 16)
+
+
+def draw(seed: int, what: str, i: Column) -> Column:
+    digest = F.md5(F.concat(F.lit(f"{seed}:{what}:"), i.cast("string")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(DIGITS)), 16, 10).cast("bigint")
+
+
 def phrase_pool(options: GeneratorOptions) -> list[str]:
-    """So many distinct phrases of one to four words, in the order found; ValueError if they can't be found."""
-    rng, pool, vocabulary = random.Random(options.seed), {}, words()
-    for _ in range(max(1000, 100 * options.phrases)):
-        phrase = " ".join(rng.choices(vocabulary, k=rng.randint(1, 4)))
+    """So many distinct phrases of one to four words, in the order found; ValueError if they can't be found in a fixed number of attempts."""
+    pool, vocabulary = {}, words()
+    for i in range(max(1000, 100 * options.phrases)):
+        n = drawn(options.seed, "words", i) % 4 + 1
+        phrase = " ".join(vocabulary[drawn(options.seed, f"word{k}", i) % len(vocabulary)] for k in range(n))
         pool.setdefault(phrase[0].upper() + phrase[1:])
         if len(pool) == options.phrases:
             return list(pool)
@@ -35,10 +50,10 @@ def generate_rows(spark: SparkSession, rows: int, options: GeneratorOptions, par
 
     The pool is an array literal in the plan: its size is the option ``phrases``, not the data's.
     """
-    pool = F.array(*map(F.lit, phrase_pool(options)))
-    draw = lambda what: F.xxhash64(F.lit(options.seed), F.lit(what), F.col("id"))
+    pool = F.split(F.lit("\n".join(phrase_pool(options))), "\n")
     ids = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
-    return ids.select("id", (F.pmod(draw("number"), F.lit(options.max_number)) + 1).alias("number"), F.element_at(pool, (F.pmod(draw("text"), F.lit(options.phrases)) + 1).cast("int")).alias("text"))
+    number = F.pmod(draw(options.seed, "number", F.col("id")), F.lit(options.max_number)) + 1
+    return ids.select("id", number.alias("number"), F.element_at(pool, (F.pmod(draw(options.seed, "text", F.col("id")), F.lit(options.phrases)) + 1).cast("int")).alias("text"))
 
 
 def rows_for(spark: SparkSession, size: int, options: GeneratorOptions) -> int:
