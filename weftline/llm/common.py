@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.columns import free_name  # noqa: F401 - the operators take it from here
 from weftline.staging import shared_dir, staged_path
 
 #: Bytes of text that a Python worker holds decoded at a time (one longer text is a batch of its own).
@@ -56,12 +57,10 @@ def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, with as many underscores before it as it takes to clash with no column, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def lowered(text: str) -> str:
+    """The text in lower case, character for character, so that places in both are the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def held_out(doc_id: Column, folds: int, fold: int = 2) -> Column:

@@ -107,14 +107,13 @@ def _license_sql() -> str:
         return s
 
     def canonical(s: str) -> str:
-        copyright_line = "(?im)" + licenses.COPYRIGHT_LINE.removeprefix("(?i)")
-        return folded(f"regexp_replace(replace({s}, chr(13), ''), '{_regex(copyright_line)}', '', 'g')")
+        return folded(f"regexp_replace(replace({s}, chr(13), ''), '(?im){_regex(licenses.COPYRIGHT_LINE)}', '', 'g')")
 
-    known = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.digests().items()))
-    return f"""WITH known(digest, license) AS (VALUES {known}),
+    values = lambda known: ", ".join(f"('{k}', '{v}')" for k, v in sorted(known.items()))
+    return f"""WITH texts(digest, license) AS (VALUES {values(licenses.digests())}), known(digest, license) AS (SELECT * FROM texts UNION ALL VALUES {values(licenses.DIGESTS)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256(coalesce({canonical('text')}, '')) AS digest FROM documents),
-l AS (SELECT r, p, sha256({canonical('x')}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d) WHERE regexp_matches(lower(x), 'licen[cs]e|released under|public domain')),
-n AS (SELECT r, string_agg(license, ',' ORDER BY p) AS notices, count(*) AS n FROM l JOIN known USING (digest) GROUP BY r)
+l AS (SELECT r, p, sha256({canonical('x')}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d)),
+n AS (SELECT r, string_agg(license, ',' ORDER BY p) AS notices, count(*) AS n FROM l JOIN texts USING (digest) GROUP BY r)
 SELECT doc_id, d.digest, license, coalesce(notices, '') AS notices, CAST(coalesce(n, 0) AS INTEGER) AS n_notices FROM d LEFT JOIN known ON known.digest = d.digest LEFT JOIN n ON n.r = d.r"""
 
 
