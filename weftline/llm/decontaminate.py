@@ -4,7 +4,8 @@ The CGK walk reads a window of words and writes one word a step; after each step
 the step and the word. Two windows within few edits walk apart at an edit and soon meet again, so that edit distance
 becomes Hamming distance of what is written. Keys made of a few sampled steps find windows that agree in them; each is
 then checked by an exact edit distance against the text around it. Windows of characters are walked as well, as edits of a fifth of
-the characters leave few words whole.
+the characters leave few words whole; their sampling is repeated until copies edited as much as is allowed are found with the recall asked for.
+Items and texts are normalised alike before any window is cut, so case, punctuation and kinds of space don't count as edits.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_udf, free_name, slices
+from weftline.llm.common import arrow_udf, free_name, lowered, slices
 
 #: Window sizes in words. An item takes the largest that leaves STRIDE windows in it (longer items several),
 #: and the size FINE as well, for items whose words are edited all over.
 SIZES, FINE = (1, 4, 8, 12, 24, 48), 8
 #: Windows of a document begin at every STRIDE-th word; an item has one at each of its words, so that one of STRIDE meets a document's.
 STRIDE = 4
-#: Size of the windows of characters, which find items whose words are edited all over; a document's begin at every CHAR_STRIDE-th character. Their walks,
-#: keys of each and steps sampled by a key: set for a recall of 0.9 at a share EDITS of the characters edited at random.
-CHARS, CHAR_STRIDE, CHAR_WALKS, CHAR_KEYS, CHAR_SAMPLED = 16, 4, 1, 6, 18
+#: Size of the windows of characters, which find items whose words are edited all over; a document's begin at every CHAR_STRIDE-th character. Their walks and
+#: the steps sampled by a key. The number of keys follows from the recall; there are MOST_KEYS at most.
+CHARS, CHAR_STRIDE, CHAR_WALKS, CHAR_SAMPLED, MOST_KEYS = 16, 4, 1, 18, 24
+#: Share of copies with EDITS of their characters changed at random that candidates are to have, and how many copies tell.
+RECALL, COPIES = 0.95, 400
 #: Items of so many characters need no windows of FINE words besides.
 LONG = 160
 #: Independent walks; keys of each for each size; steps sampled by a key, and by one of the size FINE, whose few words are oftener met by chance.
@@ -40,7 +43,7 @@ WALK_BYTES, ITEM_BYTES = 1 << 20, 2 << 20
 WORDS = re.compile(r"\w+")
 PRIME = (1 << 61) - 1
 
-_U = np.uint64
+_U, _U32 = np.uint64, np.uint32
 #: 0 for what separates words (ASCII white space, controls and punctuation), else the byte with A-Z lower-cased.
 _BYTE = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() or b == 95 else 0 for b in range(256)], np.uint8)
 
@@ -49,7 +52,17 @@ _CHAR = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.ui
 
 
 def normalized(text: str) -> str:
-    return " ".join(WORDS.findall(text.lower()))
+    return " ".join(WORDS.findall(lowered(text)))
+
+
+def edited(text: str, share: float, rng: np.random.Generator) -> str:
+    """The text with so large a share of its characters replaced, deleted or followed by another, at random."""
+    c = list(text)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for p in rng.permutation(len(c))[: int(share * len(c))]:
+        x = letters[rng.integers(26)]
+        c[p] = (x, "", c[p] + x)[rng.integers(3)]
+    return "".join(c)
 
 
 @dataclass
@@ -152,41 +165,81 @@ def myers(pattern: str, text: str, most: int | None = None) -> tuple[int, int]:
     return best, at
 
 
+#: Values that a run of three bytes is hashed to, to count them.
+GRAMS = 1 << 12
+#: Items whose counts of such runs a worker keeps.
+KEPT_ITEMS = 4096
+
+
+def grams_of(data: np.ndarray) -> np.ndarray:
+    """A hash of the three bytes from each place on."""
+    if len(data) < 3:
+        return np.array([], np.uint16)
+    x = data.astype(np.uint32)
+    x = x[:-2] * _U32(40503) + x[1:-1] * _U32(2654435) + x[2:] * _U32(97)
+    return ((x ^ (x >> _U32(11))) & _U32(GRAMS - 1)).astype(np.uint16)
+
+
 @dataclass
 class Index:
     """Keys of all windows of a bounded set of items. It is shipped as the items' texts and built where it is used."""
 
-    items: list[tuple[int, str]]
+    items: list[tuple[int | None, str]]
     seed: int = 7
     edits: float = EDITS
+    recall: float = RECALL
+    keys: int | None = None
     ready: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"items": self.items, "seed": self.seed, "edits": self.edits, "ready": {}}
+        return {"items": self.items, "seed": self.seed, "edits": self.edits, "recall": self.recall, "keys": self.fitted().keys, "ready": {}}
+
+    def fitted(self) -> Index:
+        """With the least number of keys of character windows (``keys``) that finds the share ``recall`` of copies edited up to the limit."""
+        if self.keys is not None:
+            return self
+        if not self.items:
+            self.keys = 1
+            return self
+        trial = Index(self.items, self.seed, self.edits, self.recall, MOST_KEYS)
+        normal = trial.build()["normal"]
+        rng = np.random.Generator(np.random.PCG64(self.seed + 1))
+        own = np.resize(rng.permutation(len(self.items)), min(COPIES, 20 * len(self.items)))
+        first = np.full(len(own), MOST_KEYS + 1)
+        texts = [edited(normal[i], self.edits, rng) for i in own]
+        for name, text, item, _ in trial.candidates([normalized(t).encode() for t in texts]):
+            hit = text[own[text] == item]
+            first[hit] = np.minimum(first[hit], 0 if name[1] else name[2] + 1)
+        found = np.searchsorted(np.sort(first), np.arange(MOST_KEYS + 1), side="right") / len(own)
+        enough = np.flatnonzero(found >= self.recall)
+        self.keys = max(1, int(enough[0])) if len(enough) else MOST_KEYS
+        return self
 
     def build(self) -> dict:
         if self.ready:
             return self.ready
-        texts = [t.encode() for _, t in self.items]
+        self.fitted()
+        normal = [normalized(t) for _, t in self.items]
+        texts = [t.encode("utf-8", "surrogatepass") for t in normal]
         data = np.frombuffer(b"".join(texts), np.uint8)
         w = words_of(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
         counts = np.diff(w.first)
         found = counts[counts > 0]
         stride = STRIDE if len(found) and found.min() >= 2 * STRIDE - 1 else 1
         fits = {i: [s for s in SIZES if s <= max(1, n - stride + 1)] for i, n in enumerate(counts) if n}
-        sizes = {i: {f[-1]} if len(self.items[i][1]) >= LONG else {f[-1], min(f[-1], FINE)} for i, f in fits.items()}
-        self.ready = {"stride": stride, "sizes": sorted(set().union(*sizes.values())), "longest": int(found.max()) if len(found) else 0}
+        sizes = {i: {f[-1]} if len(texts[i]) >= LONG else {f[-1], min(f[-1], FINE)} for i, f in fits.items()}
+        self.ready = {"stride": stride, "sizes": sorted(set().union(*sizes.values())), "normal": normal, "words": counts, "grams": {}}
         rng = np.random.Generator(np.random.PCG64(self.seed))
         steps = 2 * max([CHARS, *self.ready["sizes"]])
         turn = rng.integers(1, 1 << 63, (WALKS, steps), np.uint64) | _U(1)
         sampled = {}
         for walk in range(WALKS):
-            for s in self.ready["sizes"]:
+            for s in SIZES:
                 for k in range(KEYS):
                     at = np.sort(rng.permutation(max(1, 2 * s))[: FINE_SAMPLED if s == FINE else SAMPLED])
                     sampled[walk, s, k] = (at, rng.integers(1, 1 << 63, len(at), np.uint64) | _U(1), _U(rng.integers(1, 1 << 63)))
         for walk in range(CHAR_WALKS):
-            for k in range(CHAR_KEYS):
+            for k in range(self.keys):
                 at = np.sort(rng.permutation(2 * CHARS)[:CHAR_SAMPLED])
                 sampled[walk, 0, k] = (at, rng.integers(1, 1 << 63, len(at), np.uint64) | _U(1), _U(rng.integers(1, 1 << 63)))
         self.ready |= {"turn": turn, "sampled": sampled, "tables": {}}
@@ -207,8 +260,6 @@ class Index:
         chars, word, first = chars_of(data, w)
         own = np.flatnonzero(np.arange(len(chars)) + CHARS <= first[1:][item_of[word]])
         add(self.embed_chars(chars, own, first[1:][item_of[word[own]]]), item_of[word[own]], offset[word[own]])
-        self.ready["normal"] = [normalized(t) for _, t in self.items]
-        self.ready["words"] = counts
         return self.ready
 
     def embed(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: list[int]) -> dict:
@@ -241,7 +292,7 @@ class Index:
         padded, filler, end = np.append(chars, np.uint8(0)), np.int32(len(chars)), end.astype(np.int32)
         for walk in range(CHAR_WALKS):
             where = {}
-            for k in range(CHAR_KEYS):
+            for k in range(self.keys):
                 steps, factors, salt = r["sampled"][walk, 0, k]
                 out[walk, 0, k] = np.full(len(at), salt, _U)
                 for j, f in zip(steps.tolist(), factors, strict=True):
@@ -257,79 +308,124 @@ class Index:
             key *= _U(0x94D049BB133111EB)
         return out
 
-    def search(self, texts: pa.Array) -> Iterator[list[tuple[int, int, int, int]]]:
+    def search(self, texts: pa.Array) -> Iterator[list[tuple[int | None, int, int, int]]]:
         """For each text the items found in it: (item_id, distance, start byte, end byte), each item once, where it is nearest (of ties the first)."""
         r = self.build()
         if not r["sizes"]:
             yield from ([] for _ in range(len(texts)))
             return
         for part in slices(texts, WALK_BYTES):
-            yield from self._search(part, r)
+            yield from self._search(part)
 
-    def _search(self, part: pa.Array, r: dict) -> list[list[tuple[int, int, int, int]]]:
-        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in part.to_pylist()]
+    def candidates(self, raw: list[bytes], w: Words | None = None) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each key, by name: text, item and the word where the item would begin, of all windows of the normalised texts that agree in it."""
+        r = self.build()
         data = np.frombuffer(b"".join(raw), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
         if not len(data):
-            return [[] for _ in raw]
-        w = words_of(data, offsets)
+            return
+        w = w or words_of(data, np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64))
         text_of = np.repeat(np.arange(len(raw)), np.diff(w.first))
         inner = np.arange(len(w.hashes)) - w.first[:-1][text_of]
         at = np.flatnonzero(inner % r["stride"] == 0)
-        wanted: dict[int, set[tuple[int, int]]] = defaultdict(set)
         chars, word_of, first = chars_of(data, w)
         char_at = np.arange(0, len(chars), CHAR_STRIDE)
         char_end = first[1:][text_of[word_of[char_at]]]
         char_at, char_end = char_at[char_at + CHARS <= char_end], char_end[char_at + CHARS <= char_end]
+        char_word = word_of[char_at]
         found = self.embed(w.hashes, at, w.first[1:][text_of[at]], r["sizes"]) | self.embed_chars(chars, char_at, char_end)
         for name, keys in found.items():
-            places = at if name[1] else word_of[char_at]
             bits, table, items, offs = r["tables"][name]
             near = np.flatnonzero(bits[keys >> _U(44)])
-            if not len(near):
+            lo = np.searchsorted(table, keys[near])
+            n = np.searchsorted(table, keys[near], side="right") - lo
+            if not n.any():
+                continue
+            which = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            word = np.repeat((at if name[1] else char_word)[near], n)
+            yield name, text_of[word], items[which], word - offs[which]
+
+    def _search(self, part: pa.Array) -> list[list[tuple[int | None, int, int, int]]]:
+        texts = part.to_pylist()
+        raw = [normalized(t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        w = words_of(data, np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)) if len(data) else None
+        found = [np.stack(x[1:], axis=1) for x in self.candidates(raw, w)]
+        out: list[list] = [[] for _ in raw]
+        if not found:
+            return out
+        every = np.concatenate(found)
+        low = every[:, 2].min()
+        span = int(every[:, 2].max() - low) + 1
+        packed = np.unique((every[:, 0] * len(self.items) + every[:, 1]) * span + (every[:, 2] - low))
+        pairs, places = packed // span, packed % span + low
+        grams, best, done, last = grams_of(data), {}, -1, -1
+        for pair, word in zip(pairs.tolist(), places.tolist(), strict=True):
+            # candidates for one item whose places are next to each other are one stretch of text, checked once
+            if pair == last and word <= done:
                 continue
-            lo, hi = np.searchsorted(table, keys[near]), np.searchsorted(table, keys[near], side="right")
-            for i, a, b in zip(near[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                word = int(places[i])
-                for item, off in zip(items[a:b].tolist(), offs[a:b].tolist(), strict=True):
-                    wanted[int(text_of[word])].add((item, word - off))
-        return [self._verified(raw, w, int(t), wanted[t], int(offsets[t])) if (t := i) in wanted else [] for i in range(len(raw))]
-
-    def _verified(self, raw: list[bytes], w: Words, t: int, candidates: set[tuple[int, int]], base: int) -> list[tuple[int, int, int, int]]:
-        """Candidates for one item whose places are near each other are one stretch of text, checked once."""
-        first, last = int(w.first[t]), int(w.first[t + 1])
-        best: dict[int, tuple[int, int, int]] = {}
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for item, word in candidates:
-            by_item[item].append(word)
-        for item, places in by_item.items():
-            pattern, n = self.ready["normal"][item], int(self.ready["words"][item])
-            # edits before a place move it by fewer words than they are
-            slack, most = max(4, n // 4), int(self.edits * len(self.ready["normal"][item]))
-            done = -1
-            for word in sorted(places):
-                if word <= done:
-                    continue
-                done = word + 1
-                a, b = max(first, word - slack), min(last, word + n + slack + 1)
-                if a >= b:
-                    continue
-                from_byte, to_byte = int(w.start[a]) - base, int(w.end[b - 1]) - base
-                piece = normalized(raw[t][from_byte:to_byte].decode("utf-8", "replace"))
-                distance, _ = myers(pattern, piece, most)
-                if distance <= most and (item not in best or distance < best[item][0]):
-                    best[item] = (distance, from_byte, to_byte)
-        return sorted((self.items[i][0], *v) for i, v in best.items())
-
-
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", seed: int = 7, edits: float = EDITS) -> Iterator[Index]:
-    """The benchmark in pieces of ITEM_BYTES of text at most (as expected sizes), one for most benchmarks. Null, empty and wordless items are left out."""
+            last, done = pair, word + 1
+            text, item = divmod(pair, len(self.items))
+            if got := self._verified(data, grams, w, text, item, word):
+                if pair not in best or got[0] < best[pair][0]:
+                    best[pair] = got
+        for pair, (distance, a, b) in best.items():
+            text, item = divmod(pair, len(self.items))
+            begin, end = _bytes_of(texts[text], a - int(w.first[text]), b - 1 - int(w.first[text]))
+            out[text].append((self.items[item][0], distance, begin, end))
+        return [sorted(x, key=lambda y: (y[0] is None, y[0] or 0, y[1:])) for x in out]
+
+    def _verified(self, data: np.ndarray, grams: np.ndarray, w: Words, text: int, item: int, word: int) -> tuple[int, int, int] | None:
+        """(distance, first word, end) of the stretch around the word, if the item is within the limit in it."""
+        first, last = int(w.first[text]), int(w.first[text + 1])
+        pattern, n = self.ready["normal"][item], int(self.ready["words"][item])
+        # edits before a place move it by fewer words than they are
+        slack, most = max(4, n // 4), int(self.edits * len(pattern))
+        a, b = max(first, word - slack), min(last, word + n + slack + 1)
+        if a >= b:
+            return None
+        begin, end = int(w.start[a]), int(w.end[b - 1])
+        local, counts, least = self._grams(item)
+        if least > 0 and int(np.minimum(np.bincount(local[grams[begin : max(begin, end - 2)]], minlength=len(counts)), counts).sum()) < least:
+            return None
+        distance, _ = myers(pattern, data[begin:end].tobytes().decode("utf-8", "surrogatepass"), most)
+        return (distance, a, b) if distance <= most else None
+
+    def _grams(self, item: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """How often the item has each run of three bytes, and how many of them a text within the limit has too: an edit of one character spoils three, or more where characters take more bytes."""
+        kept = self.ready["grams"]
+        if item not in kept:
+            if len(kept) >= KEPT_ITEMS:
+                kept.clear()
+            pattern = self.ready["normal"][item]
+            raw = np.frombuffer(pattern.encode("utf-8", "surrogatepass"), np.uint8)
+            codes, n = np.unique(grams_of(raw), return_counts=True)
+            local = np.zeros(GRAMS, np.int16)
+            local[codes] = np.arange(1, len(codes) + 1)
+            widest = 1 if len(raw) == len(pattern) else 4
+            kept[item] = (local, np.concatenate([[0], n]), len(raw) - 2 - (widest + 2) * int(self.edits * len(pattern)))
+        return kept[item]
+
+
+def _bytes_of(text: str, first: int, last: int) -> tuple[int, int]:
+    """The bytes of the original text from its word number ``first`` to the end of number ``last``."""
+    begin = end = 0
+    for i, m in enumerate(WORDS.finditer(lowered(text))):
+        if i == first:
+            begin = m.start()
+        if i == last:
+            end = m.end()
+            break
+    return len(text[:begin].encode("utf-8", "surrogatepass")), len(text[:end].encode("utf-8", "surrogatepass"))
+
+
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", seed: int = 7, edits: float = EDITS, recall: float = RECALL) -> Iterator[Index]:
+    """The benchmark in pieces of ITEM_BYTES of text at most (as expected sizes), one for most benchmarks. Null, empty and wordless items are left out, items without an id stay."""
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     pieces = -(-(items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // ITEM_BYTES)
     for piece in range(pieces):
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(pieces)) == piece) if pieces > 1 else items
-        if rows := sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in own.collect() if WORDS.search(r["t"])):
-            yield Index(rows, seed, edits)
+        if rows := sorted(((r["i"], r["t"]) for r in own.collect() if WORDS.search(r["t"])), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+            yield Index(rows, seed, edits, recall).fitted()
 
 
 FOUND = "array<struct<item_id: bigint, distance: int, start: int, end: int>>"
@@ -348,23 +444,24 @@ def found_in(text: Column, index: Index) -> Column:
     return search(text)
 
 
-def _all_found(text: Column, benchmark: DataFrame, seed: int, edits: float) -> Column:
-    columns = [found_in(text, index) for index in indexes(benchmark, seed=seed, edits=edits)]
+def _all_found(text: Column, benchmark: DataFrame, seed: int, edits: float, recall: float) -> Column:
+    columns = [found_in(text, index) for index in indexes(benchmark, seed=seed, edits=edits, recall=recall)]
     return F.concat(*columns) if columns else F.array().cast(FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", seed: int = 7, edits: float = EDITS) -> DataFrame:
-    """One row per input row: id, ``contaminated``, ``n_items``, ``items`` (ids in order), ``found`` (with distances and stretches).
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", seed: int = 7, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
+    """One row per input row: id, ``contaminated``, ``n_items``, ``items`` (ids in order, null last), ``found`` (with distances and stretches).
 
     A document is contaminated if some part of it is within ``edits`` of an item's characters of the item, both normalised
-    (lower case, words with one space between). Null and empty texts hold nothing; null ids and repeated rows stay; an
+    (lower case, words with one space between). ``recall``: share of copies edited up to that limit, at random, that candidates are to have; copies edited less are
+    found oftener, and what is found is always within the limit. Null and empty texts hold nothing; null ids, of rows and of items, and repeated rows stay; an
     empty benchmark finds nothing; other columns play no part. Candidates come from all windows of whole texts.
     """
-    rows = docs.select(F.col(id_col).alias("id"), _all_found(F.col(text), benchmark, seed, edits).alias("found"))
+    rows = docs.select(F.col(id_col).alias("id"), _all_found(F.col(text), benchmark, seed, edits, recall).alias("found"))
     return rows.select(F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), F.size("found").alias("n_items"), F.array_sort(F.array_distinct(F.col("found.item_id"))).alias("items"), "found")
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", seed: int = 7, edits: float = EDITS) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", seed: int = 7, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """The rows, whole, without any benchmark item."""
     name = free_name(docs, "found")
-    return docs.withColumn(name, _all_found(F.col(text), benchmark, seed, edits)).filter(F.size(name) == 0).drop(name)
+    return docs.withColumn(name, _all_found(F.col(text), benchmark, seed, edits, recall)).filter(F.size(name) == 0).drop(name)
