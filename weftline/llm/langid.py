@@ -133,14 +133,14 @@ def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", folds: int = 4, fold: int = 2, max_rows: int = 20_000) -> Profiles:
     """Profiles from rows with a language, outside the held-out fold.
 
-    ``max_rows`` bounds the sample (as its expected size; rows are taken by a hash of id and text length), so training costs the same at any scale.
+    ``max_rows`` bounds the sample (as its expected size; rows are taken by a hash of id and text), so training costs the same at any scale.
     Languages without a letter in their rows get no profile; no usable rows give no profiles, and every text is ``und``.
     """
     ship(docs.sparkSession)
     usable = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null").filter(~held_out(F.col("id"), folds, fold))
     total = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).filter("lang is not null").count()
     share = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
-    sample = usable.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < share)
+    sample = usable.filter(F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(1 << 30)) < share)
     counted = sample.select("text", "lang").mapInArrow(_profile_rows, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= RANKS).collect()  # RANKS rows a language

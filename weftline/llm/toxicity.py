@@ -6,14 +6,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_udf, free_name, held_out, ship, slices
+from weftline.llm.common import arrow_udf, free_name, held_out, lowered, ship, slices
 
 WORD = re.compile(r"\w+")
 #: Words from which a hit's neighbours are taken, on each side.
@@ -37,7 +37,8 @@ class Lexicon:
     (insertion, deletion, substitution or swap of neighbours).
     """
 
-    STATES = 50_000
+    #: States remembered at most, and words in each of two generations: a word that comes again outlives the next change. So a worker's memory is bounded.
+    STATES, KNOWN_WORDS = 20_000, 50_000
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
@@ -67,6 +68,7 @@ class Lexicon:
         self.moves: list[dict[str, int]] = []
         self.start = self.state({(0, 0, "")})
         self.known: dict[str, tuple[str, int] | None] = {}
+        self.older: dict[str, tuple[str, int] | None] = {}
 
     def state(self, items: set) -> int:
         """The number of a state, closed under skipped letters of the term; -1 if nothing is left."""
@@ -111,28 +113,24 @@ class Lexicon:
             return self.known[word]
         except KeyError:
             pass
-        if len(self.sets) > self.STATES or len(self.known) > 20 * self.STATES:
+        if len(self.sets) > self.STATES:
             self.forget()
+        elif len(self.known) >= self.KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        self.known[word] = found = self.older[word] if word in self.older else self.run(word)
+        return found
+
+    def run(self, word: str) -> tuple[str, int] | None:
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
             state = self.step(state, c) if to is None else to
             if state < 0:
                 break
-        found = None
-        if state >= 0:
-            ends = [(edits, self.term[node]) for node, edits, owed in self.sets[state] if not owed and self.term[node] is not None and edits <= self.allowed(self.term[node])]
-            if ends:
-                edits, term = min(ends)
-                found = (term, edits)
-        self.known[word] = found
-        return found
-
-
-def lowered(text: str) -> str:
-    """The text in lower case, character for character, so that places in both are the same."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        if state < 0:
+            return None
+        ends = [(edits, self.term[node]) for node, edits, owed in self.sets[state] if not owed and self.term[node] is not None and edits <= self.allowed(self.term[node])]
+        return min(ends)[::-1] if ends else None
 
 
 @dataclass(frozen=True)
@@ -150,7 +148,7 @@ FEATURES = ("abusive", "misspelled", "quoted", "terms", "crowding", "density")
 
 @dataclass
 class ToxicityModel:
-    """Term weights (0 to 1) as written and misspelled, and the logistic weights over FEATURES; their size is bounded by the trainer's ``max_terms``."""
+    """Term weights (0 to 1) as written and misspelled, and the logistic weights over FEATURES; their size is bounded by the words of the trainer's sample."""
 
     weights: dict[str, float]
     misspelled: dict[str, float] = field(default_factory=dict)
@@ -187,8 +185,9 @@ class ToxicityModel:
                 out.append(Hit(a, b, *found[w], quoted))
         return out
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        hits = self.hits(text)
+    def features(self, text: str | None, hits: list[Hit] | None = None) -> tuple[float, ...]:
+        """The numbers of FEATURES; ``hits``: the text's, if they are known already."""
+        hits = self.hits(text) if hits is None else hits
         if not hits:
             return (0.0,) * len(FEATURES)
         # a spelling that comes again and again is one finding: junk that repeats a word near a term isn't abuse
@@ -218,8 +217,16 @@ class ToxicityModel:
         z = self.bias + sum(c * x for c, x in zip(self.coefficients, features, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def score(self, text: str | None) -> float:
-        return self.probability(self.features(text))
+    def score(self, text: str | None, hits: list[Hit] | None = None) -> float:
+        return self.probability(self.features(text, hits))
+
+    def examples(self, text: str) -> list[tuple[float, ...]]:
+        """What a labelled text teaches: its features, and, if it has terms as written, those it would have if all were misspelled."""
+        hits = self.hits(text)
+        out = [self.features(text, hits)]
+        if any(not h.edits for h in hits):
+            out.append(self.features(text, [replace(h, edits=max(1, h.edits)) for h in hits]))
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2000) -> tuple[list[float], float]:
@@ -267,12 +274,13 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(terms + list(clean), pa.string()), pa.array(contexts + [None] * len(clean), pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["term", "context", "bad", "good"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", folds: int = 4, fold: int = 2, max_rows: int = 20_000, max_terms: int = 2_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", folds: int = 4, fold: int = 2, max_rows: int = 20_000) -> ToxicityModel:
     """Learns terms and weights from a bounded, seeded sample of labelled rows outside the held-out fold.
 
-    ``max_rows`` bounds the sample (as its expected size; rows are taken by a hash of the id), so training costs the same at any
+    ``max_rows`` bounds the sample (rows are taken by a hash of the id, and of ids that repeat by one of the text), so training costs the same at any
     scale. A term must stand in toxic texts so much oftener than in others that chance among all candidates can't explain it;
-    its occurrences count once for each different pair of neighbours, so that copies of one text don't make a term.
+    its occurrences count once for each different pair of neighbours, so that copies of one text don't make a term. All such terms are taken. The logistic
+    weights are fitted on the labelled texts and on the same with all terms misspelled, so that misspelled terms count where no labelled text has any.
     Null texts count as empty, rows without a label (or with a null one) aren't used; no usable rows give a model that scores all texts low.
     """
     ship(docs.sparkSession)
@@ -282,7 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
         return ToxicityModel({})
     share = int(min(1.0, max_rows / total) * (1 << 30))
     sample = usable.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < share).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "toxic").persist()  # the sample is of max_rows ids
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # the sample is of max_rows ids
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.orderBy(F.xxhash64("id", "text", F.lit(17))).limit(max_rows).repartition(tasks).select("text", "toxic").persist()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -297,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     gain = t * F.log(t / ((t + n) * rate)) + F.when(n > 0, n * F.log(n / ((t + n) * (1 - rate)))).otherwise(0.0)
     lift = F.log((t + 0.5) / bad * good / (n + 0.5))
     best = counted.withColumns({"gain": gain, "lift": lift}).filter((F.col("gain") > math.log(candidates + 1) + 5) & (F.col("lift") > 2.0) & (F.length("term") >= 3))
-    terms = best.orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    terms = best.collect()  # some of the words of max_rows texts
     counted.unpersist()
     model = ToxicityModel({r["term"]: min(1.0, r["lift"] / 5) for r in terms})
     if model.weights:
@@ -309,24 +319,38 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
 
         # how often near spellings of a term stand in toxic texts and in others tells what they are worth: rare ones something, common words nothing
         near = rows.select(F.explode(respelled(F.col("text"))).alias("term"), (F.col("toxic") > 0).cast("int").alias("y")).groupBy("term").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-        seen = {r["term"]: (r["t"], r["n"] - r["t"]) for r in near.collect()}  # max_terms rows
+        seen = {r["term"]: (r["t"], r["n"] - r["t"]) for r in near.collect()}  # a row a term
         for term in model.weights:
             t, n = seen.get(term, (0, 0))
             model.misspelled[term] = min(1.0, max(0.0, math.log((t + 0.5) / bad * good / (n + 0.5)) / 5))
 
-        @arrow_udf("array<double>")
+        @arrow_udf("array<array<double>>")
         def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([model.features(x) for part in slices(batch) for x in part.to_pylist()], pa.list_(pa.float64()))
+                yield pa.array([model.examples(x) for part in slices(batch) for x in part.to_pylist()], pa.list_(pa.list_(pa.float64())))
 
-        got = rows.select(featured(F.col("text")).alias("x"), (F.col("toxic") > 0).cast("int").alias("y")).collect()  # max_rows rows of six numbers
+        got = rows.select(F.explode(featured(F.col("text"))).alias("x"), (F.col("toxic") > 0).cast("int").alias("y")).collect()  # 2 * max_rows rows of six numbers at most
         model.coefficients, model.bias = fit_logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
-        # labelled texts seldom misspell every term, so what they teach about misspelled ones alone has a floor
-        model.coefficients[1] = max(model.coefficients[1], model.coefficients[0] / 2)
     rows.unpersist()
     return model
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, parts: int = 3, *, text: str = "text", id_col: str = "doc_id", folds: int = 4, fold: int = 2, **options) -> dict[str, int]:
+    """Counts of labelled rows by what is predicted and labelled (``tp, fp, fn, tn``), all outside the held-out fold: each part is judged by a model of the other parts.
+
+    For choices of design, so that the held-out fold is looked at once, when they are made.
+    """
+    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(parts))
+    seen = labels.filter(~held_out(F.col(id_col), folds, fold) & F.col("toxic").isNotNull())
+    out = dict.fromkeys(("tp", "fp", "fn", "tn"), 0)
+    for k in range(parts):
+        model = train(docs, seen.filter(part != k), text=text, id_col=id_col, folds=folds, fold=fold, **options)
+        judged_rows = score(docs, model, text=text, id_col=id_col).join(seen.filter(part == k).select(id_col, "toxic"), id_col)
+        for r in judged_rows.groupBy("predicted", (F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
+            out[("t" if r["predicted"] == r["toxic"] else "f") + ("p" if r["predicted"] else "n")] += r["count"]
+    return out
+
+
 def judged(text: Column, model: ToxicityModel) -> Column:
     """``struct<score, terms, misspelled, quoted>`` of a text; counts are of hits."""
     kind = pa.struct([("score", pa.float64()), ("terms", pa.int32()), ("misspelled", pa.int32()), ("quoted", pa.int32())])
@@ -339,7 +363,7 @@ def judged(text: Column, model: ToxicityModel) -> Column:
             for part in slices(batch):
                 for x in part.to_pylist():
                     hits = model.hits(x)
-                    rows.append((model.score(x), len(hits), sum(h.edits > 0 for h in hits), sum(h.quoted for h in hits)) if hits else none)
+                    rows.append((model.score(x, hits), len(hits), sum(h.edits > 0 for h in hits), sum(h.quoted for h in hits)) if hits else none)
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
     return judge(text)
