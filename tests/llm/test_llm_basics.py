@@ -155,6 +155,67 @@ def test_several_misspelled_terms_are_toxic(spark):
     assert model.score(text) > model.score(text.replace("grumblhead", "mido")) > model.score("dundrepate " * 500)
 
 
+def features_by_hand(model, text):
+    """Hits by edit distances to all terms, windows by lists of words, features by their definitions."""
+    import math
+    import re
+
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
+    spans = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+", low)]
+    hits = []
+    for i, (a, b, w) in enumerate(spans):
+        found = []
+        for t in model.weights:
+            most = 2 if len(t) >= toxicity.TWO_EDITS else int(len(t) >= toxicity.ONE_EDIT)
+            found += [(k, t) for k in range(most + 1) if near(w, t, k)][:1]
+        if found:
+            window = range(max(0, i - 6), min(len(spans), i + 7))
+            said = any(spans[k][2] in toxicity.REPORTING for k in window)
+            left, right = low[spans[window[0]][0] : a], low[b : spans[window[-1]][1] + 1]
+            marks = bool(set(left) & set(toxicity.OPENING)) and bool(set(right) & set(toxicity.CLOSING))
+            edits, term = min(found)
+            hits.append((a, w, term, edits, said or marks))
+    once, spelled = [], set()
+    for h in hits:
+        if not h[3] or h[1] not in spelled:
+            once.append(h)
+            spelled |= {h[1]} if h[3] else set()
+    if not once:
+        return [], (0.0,) * 6
+    weight = lambda h: model.misspelled.get(h[2], 0.0) if h[3] else model.weights[h[2]]
+    mass = [sum(weight(h) for h in once if k(h)) for k in (lambda h: not h[3] and not h[4], lambda h: h[3] and not h[4], lambda h: h[4])]
+    plain = [(h[0], h[2], 1.0 if not h[3] else 0.5) for h in once if not h[4] and (not h[3] or weight(h) > 0)]
+    terms = sum(max(x for _, u, x in plain if u == t) for t in {t for _, t, _ in plain})
+    crowd = max((sum(x for b, _, x in plain if 0 <= a - b <= 72) for a, _, _ in plain), default=0.0)
+    density = 1000 * sum(x for _, _, x in plain) / (1 + len(text) / 6)
+    return hits, (*map(math.log1p, mass), math.log1p(terms), math.log1p(max(0.0, crowd - 1)), math.log1p(density))
+
+
+def test_features_by_hand(spark):
+    import math
+
+    model = toxicity.train(*toxic_fixture(spark))
+    rng = random.Random(12)
+    words = ["grumblehead", "dunderpate", "nincompoop", "grumblhead", "dundrepate", "nincompooop", "said", "taka", "lope", "mido", '"taka', 'neno"', "«suvi", "ralu»", "İx", "dunder", "Nincompoop"]
+    for _ in range(150):
+        text = " ".join(rng.choices(words, k=rng.randrange(0, 50)))
+        hits, want = features_by_hand(model, text)
+        assert [(h.start, h.term, h.edits, h.quoted) for h in model.hits(text)] == [(a, t, e, q) for a, _, t, e, q in hits]
+        assert model.features(text) == pytest.approx(want)
+        z = model.bias + sum(c * x for c, x in zip(model.coefficients, want, strict=True))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_the_sample_is_bounded_and_judged_by_parts(spark):
+    docs, labels = toxic_fixture(spark)
+    many = docs.unionByName(docs.filter("doc_id = 6").crossJoin(spark.range(3000)).select("doc_id", F.concat("text", F.lit(" "), "id").alias("text")))
+    model = toxicity.train(many, labels, max_rows=500)
+    assert set(model.weights) <= {"grumblehead", "dunderpate", "nincompoop"}
+    got = toxicity.cross_validated(docs, labels)
+    assert sum(got.values()) == labels.filter("crc32(cast(doc_id as string)) % 4 <> 2").count()
+    assert got["fp"] == got["fn"] == 0
+
+
 # 3
 def test_license_scan(spark, odd, empty):
     mit = dict(licenses.KNOWN)["MIT"]
@@ -167,6 +228,49 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
 
 
+def wrapped(text, width=72):
+    import textwrap
+
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n"))
+
+
+def test_whole_licences_in_any_layout(spark):
+    whole = [(n, t) for n, t in licenses.KNOWN if "\n" in t]
+    rows = [(i, f"{head}{wrapped(t, w)}\n") for i, (n, t) in enumerate(whole) for head in ("", "Copyright (c) 2019-2024, Some Body <x@y.z>\nAll rights reserved.\n\n", "© Jane Doe\n") for w in (40, 72, 100)]
+    assert {n for n, _ in whole} >= {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "BSL-1.0"}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and all(r.license == whole[r.doc_id][0] for r in got)
+
+
+def test_clauses_about_copyright_stay(spark):
+    kept = ["copyright notice and this permission notice appear in all copies.", "(c) You must retain notices", "COPYRIGHT HOLDERS BE LIABLE", "copyright law, the author", "all rights reserved by them stay"]
+    gone = ["Copyright (c) 2020 A", " * Copyright 1999-2001, B", "(C) 2001 C", "© D", "Copyright by E", "Copyright <year> <holder>", "Copyright F, 2011", "All rights reserved.", "# Copyright © G"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(kept + gone)], "i int, t string").select("i", licenses.canonical(F.col("t")).alias("c"))
+    assert [bool(r.c) for r in rows.orderBy("i").collect()] == [True] * len(kept) + [False] * len(gone)
+    assert [bool(licenses.canonical_text(t)) for t in kept] == [True] * len(kept)
+
+
+def test_long_licences_by_digest(spark):
+    import os
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(v, open(f"/usr/share/common-licenses/{k}").read()) for k, v in names.items() if os.path.exists(f"/usr/share/common-licenses/{k}")]
+    if not rows:
+        pytest.skip("no licence files here")
+    got = licenses.scan(spark.createDataFrame([(n, t.upper() + "\n\n") for n, t in rows], "doc_id string, text string")).collect()
+    assert all(r.license == r.doc_id for r in got)
+
+
+def test_a_callers_own_table(spark, odd):
+    full = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("Permission"))
+    rows = spark.createDataFrame([(1, full), (2, "x\nfree for all, always\nfree for all; always!\ny")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(rows, known=(("MIT", full),)).collect()} == {1: ("MIT", ""), 2: (None, "")}
+    got = {r.doc_id: (r.license, r.notices, r.n_notices) for r in licenses.scan(rows, known=(("Own", "Free for all. Always."),)).collect()}
+    assert got == {1: (None, "", 0), 2: (None, "Own,Own", 2)}
+    assert licenses.scan(rows, known=(), more={}).filter("license is not null or n_notices > 0").isEmpty()
+    assert licenses.scan(odd, known=(("Nothing", "!!"),)).filter("license is not null").isEmpty()
+
+
 # 4
 @pytest.mark.parametrize(
     "url, want",
@@ -182,7 +286,69 @@ def test_url_verdicts(spark, url, want):
     assert (r.host, r.path, r.rule, r.verdict) == want
 
 
+def test_urls_of_odd_rows(spark):
+    long = "http://a.net/" + "x/" * 200_000 + "casino"
+    rows = spark.createDataFrame([(1, long, "v"), (None, "http://com/de/", "w"), (2, "", "x"), (2, "", "x"), (2, None, "y")], "page_id bigint, url string, verdict string")
+    got = urls.judge_urls(rows).collect()
+    assert len(got) == 5 and sorted(r.verdict for r in got) == ["allow"] * 3 + ["block"] * 2
+    assert urls.judge_urls(rows.filter("false")).count() == 0
+
+
 # 5
+def test_shards_by_hand(spark):
+    """The law and the permutation, computed a second way."""
+    import hashlib
+    from collections import defaultdict
+
+    ids = list(range(400)) + [None, None]
+    rows = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string")
+    got = sharding.shuffle_into_shards(rows, 5, seed=3, bucket_bytes=300).collect()
+
+    def digest(shard, i):
+        return hashlib.md5(f"weft:{shard}:{'null' if i is None else i}".encode()).hexdigest(), shard
+
+    assert all(r.shard == max(range(5), key=lambda s: digest(s, r.doc_id)) for r in got)
+    assert all(r.grown_shard == max(range(6), key=lambda s: digest(s, r.doc_id)) for r in got)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += len(r.text) + 16
+    buckets = -(-max(sizes.values()) // 300)
+    mixes = {(r.doc_id, r.text): r.m for r in rows.select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("m")).collect()}
+    for shard in range(5):
+        base = 0
+        for bucket in range(buckets):
+            own = sorted((r for r in got if r.shard == shard and mixes[r.doc_id, r.text] % buckets == bucket), key=lambda r: mixes[r.doc_id, r.text])
+            assert all(r.bucket == bucket for r in own)
+            order = sharding.fisher_yates(len(own), 3, shard, bucket)
+            assert [own[i].slot - base for i in order] == list(range(len(own)))
+            base += len(own)
+
+
+def test_rows_alike_in_every_column_spread(spark):
+    rows = spark.range(4000, numPartitions=4).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    got = sharding.shuffle_into_shards(rows, 4, bucket_bytes=5000)
+    sizes = [r["count"] for r in got.groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 15 and max(sizes) < 600
+    assert sorted(r.slot for r in got.collect()) == list(range(4000))
+
+
+def test_nth_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(6) for _ in range(500)] + [None] * 0
+    for some in (values, values[::-1]):
+        got = spark.createDataFrame([(v,) for v in some], "v bigint").coalesce(1).select("v", sharding.nth_of(F.col("v")).alias("n")).collect()
+        assert sorted((r.v, r.n) for r in got) == sorted((v, k) for v in set(values) for k in range(values.count(v)))
+
+
+def test_shards_are_written_in_folders(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    sharding.write_shards(rows, str(tmp_path / "out"), 3, bucket_bytes=2000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
+    want = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(rows, 3, bucket_bytes=2000).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in back.collect()} == want
+
+
 def test_sharding(spark, odd, empty):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text"), F.lit(1).alias("Slot"))
     out = sharding.shuffle_into_shards(rows, 7, bucket_bytes=4000)
@@ -309,6 +475,32 @@ def test_ngrams_in_pieces_and_by_hand(monkeypatch):
     assert sorted(want.values()) == sorted(whole[1].tolist())
 
 
+def test_distances_by_hand(spark, sf):
+    """Profiles, ranks and the out-of-place distance, computed a second way."""
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    profiles = langid.train(spark.createDataFrame(rows))
+
+    def ranked(texts):
+        total = {}
+        for t in texts:
+            for g, n in zip(*langid.ngrams(t), strict=True):
+                total[int(g)] = total.get(int(g), 0) + int(n)
+        return sorted(total, key=lambda g: (-total[g], g))[: langid.RANKS]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    own = {lang: {g: k for k, g in enumerate(ranked([r.text for r in rows if r.lang == lang and not held(r.doc_id)]))} for lang in {r.lang for r in rows if r.lang}}
+    assert profiles.languages == sorted(own)
+    for r in rows[:60]:
+        grams = ranked([r.text])
+        want = [sum(abs(own[lang][g] - k) if g in own[lang] else langid.RANKS for k, g in enumerate(grams)) for lang in profiles.languages]
+        assert profiles.distances(langid.top(*langid.ngrams(r.text))).tolist() == want
+        lang, score = profiles.predict(r.text)
+        if grams:
+            assert lang == profiles.languages[want.index(min(want))] and abs(score - (1 - min(want) / (langid.RANKS * len(grams)))) < 1e-12
+        else:
+            assert lang == langid.UNKNOWN
+
+
 # 10
 def test_decontamination_against_brute_force(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -336,11 +528,11 @@ def test_recall_of_edited_passages(spark, sf):
     assert sum(w in {g[0] for g in r} for w, r in zip(want, got, strict=True)) >= 0.95 * len(want)
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_recall_up_to_the_edits_allowed(spark, sf, share):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rng, texts, want = random.Random(3), [], []
-    for i, t in items * 2:
+    for i, t in items * 4:
         c = list(t)
         for p in rng.sample(range(len(c)), int(share * len(decontaminate.normalized(t)))):
             x = rng.choice("abcdefghijklmnopqrstuvwxyz")
@@ -354,6 +546,55 @@ def test_recall_up_to_the_edits_allowed(spark, sf, share):
     assert sum(w in {g[0] for g in r} for w, r in zip(want, got, strict=True)) >= 0.9 * len(want)
 
 
+def test_every_item_within_the_limit_is_found(spark, sf):
+    """Brute force over all pairs of a text and an item: 0.9 at least of those within the limit, and no other."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:12]
+    rng = random.Random(7)
+    texts = [decontaminate.edited(t, s, decontaminate.np.random.Generator(decontaminate.np.random.PCG64(rng.randrange(10**6)))) + " and so on" for _, t in items for s in (0.1, 0.17, 0.22)]
+    got = list(decontaminate.Index(items).search(pa.array(texts)))
+    right = total = 0
+    for text, found in zip(texts, got, strict=True):
+        low = decontaminate.normalized(text)
+        for i, t in items:
+            own = decontaminate.normalized(t)
+            within = decontaminate.myers(own, low)[0] <= int(0.2 * len(own))
+            total += within
+            right += within and i in {g[0] for g in found}
+            assert within or i not in {g[0] for g in found}
+    assert total >= 24 and right >= 0.9 * total
+
+
+def test_typography_is_no_edit():
+    words = "Élan vital überall façade naïve réseau où le père s'éleva très haut mais déjà l'été s'achève près du théâtre où l'âme rêve encore"
+    items = [(1, words), (2, "the quick brown fox jumps over the lazy dog and runs far away from the old mill by the river")]
+    texts = [words.upper(), "\u201c" + words.replace(" ", "\u201d \u201c") + "\u201d", words.replace(" ", "\u00a0"), words.replace(" ", "\u2003\u2014 "), "x \u0130 " + words + " y"]
+    got = list(decontaminate.Index(items).search(pa.array(texts)))
+    assert [[(g[0], g[1]) for g in found] for found in got] == [[(1, 0)]] * len(texts)
+    for text, found in zip(texts, got, strict=True):
+        part = text.encode()[found[0][2] : found[0][3]].decode()
+        assert decontaminate.normalized(words) in decontaminate.normalized(part)
+
+
+def test_counted_runs_only_leave_out_what_is_beyond_the_limit():
+    rng = random.Random(8)
+    for alphabet in ("abcde ", "aéß日 "):
+        items = [(i, "".join(rng.choices(alphabet, k=rng.randrange(20, 120)))) for i in range(20)]
+        items = [(i, t) for i, t in items if decontaminate.WORDS.search(t)]
+        index = decontaminate.Index(items, keys=1)
+        index.build()
+        for _ in range(300):
+            at = rng.randrange(len(items))
+            own = decontaminate.normalized(items[at][1])
+            c = list(own)
+            for p in rng.sample(range(len(c)), min(len(c), rng.randrange(0, len(c) // 4 + 1))):
+                c[p] = rng.choice((rng.choice(alphabet.strip()), "", c[p] + "日"))
+            text = "".join(c)
+            data = decontaminate.np.frombuffer(text.encode(), decontaminate.np.uint8)
+            local, counts, least = index._grams(at)
+            kept = decontaminate.np.minimum(decontaminate.np.bincount(local[decontaminate.grams_of(data)], minlength=len(counts)), counts).sum() >= least
+            assert kept or decontaminate.myers(own, text)[0] > int(0.2 * len(own))
+
+
 def test_myers_stops_only_beyond_most():
     rng = random.Random(6)
     for _ in range(300):
@@ -381,5 +622,7 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "some words here today"), (2, None), (3, ""), (None, "another item of words"), (1, "some words here today")], "item_id bigint, text string")
     got = {r.doc_id: r["items"] for r in decontaminate.contamination(odd, bench).collect()}
     assert got[3] == got[None] == [1] and got[1] == got[2] == got[4] == []
+    nameless = decontaminate.contamination(spark.createDataFrame([(9, "so another item of words it is")], "doc_id bigint, text string"), bench).first()
+    assert nameless["items"] == [None] and nameless.contaminated
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(odd, bench.filter("false")).filter("contaminated").isEmpty()

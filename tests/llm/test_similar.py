@@ -86,9 +86,48 @@ def test_links_behind_failed_candidates_are_found(spark):
     assert len(a & c) >= 0.8 * len(a | c)
     first = [0x3FF << 32, 0, 0x3FF << 42]
     fields = [f"w{k}" for k in range(simhash.WIDE)]
-    nodes = spark.createDataFrame([(x, *([0] * (simhash.WIDE - 1)), i + 1) for i, x in enumerate(first)], ", ".join(f"{f} bigint" for f in [*fields, "row"]))
-    got = simhash.similar_links(nodes, spark.createDataFrame(docs, "row bigint, text string")).collect()
-    assert [(r.a, r.b) for r in got] == [(first[0], first[2])]
+    nodes = spark.createDataFrame([(i + 1, x, *([0] * (simhash.WIDE - 1))) for i, x in enumerate(first)], ", ".join(f"{f} bigint" for f in ["node", *fields]))
+    got = simhash.similar_links(nodes, spark.createDataFrame(docs, "node bigint, text string")).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 3)]
+
+
+def test_one_fingerprint_does_not_make_texts_alike(spark):
+    words = [f"w{i}" for i in range(220)]
+    docs = [(5, " ".join(words[:200])), (6, " ".join(words[::-1])), (7, " ".join(words[15:])), (8, " ".join(words[::-1][:210]))]
+    fields = [f"w{k}" for k in range(simhash.WIDE)]
+    nodes = spark.createDataFrame([(i, *([9] * simhash.WIDE)) for i, _ in docs], ", ".join(f"{f} bigint" for f in ["node", *fields]))
+    got = simhash.similar_links(nodes, spark.createDataFrame(docs, "node bigint, text string")).collect()
+    assert {(r.a, r.b) for r in got} == {(5, 7), (6, 8)}
+
+
+def test_hot_words_are_cut_and_salted_without_losing_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 40)
+    monkeypatch.setattr(simhash, "WIDE_BUDGET", 6)
+    rng = np.random.Generator(np.random.PCG64(8))
+    n = 400
+    wide = np.zeros((n, simhash.WIDE), np.int64)
+    wide[:, 1] = rng.integers(0, 1 << 16, n) << 8  # all share every other word, so that those groups can't be cut by bits
+    fields = [f"w{k}" for k in range(simhash.WIDE)]
+    rows = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(wide)], ", ".join(f"{f} bigint" for f in ["node", *fields]))
+    words = rows.selectExpr("node", *fields, "posexplode(array(shiftrightunsigned(w0, 32), w1 & 4294967295)) as (path, rot)").selectExpr("cast(path + 1 as bigint) path", "rot", "node", *fields)
+    dealt = simhash._spread(words, ["node", *fields], 32, simhash.WORD_BUDGET + 1)
+    assert max(r["count"] for r in dealt.groupBy("path", "key").count().collect()) <= 3 * simhash.GROUP_ROWS
+    got = [(r.a, r.b) for r in dealt.mapInArrow(simhash._candidates, "a bigint, b bigint").collect()]
+    i, j = np.triu_indices(n, 1)
+    near = np.bitwise_count(wide[i, 1] ^ wide[j, 1]) <= 6
+    a, b = np.array(got).T
+    assert (simhash.forest(n, iter([(i[near], j[near])])) >= simhash.forest(n, iter([(a, b)]))).all()
+    root = simhash.forest(n, iter([(a, b)]))
+    assert (root[i[near]] == root[j[near]]).all()
+
+
+def test_crossed_runs_come_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    begin = np.array([0, 3, 3, 20, 21, 100])
+    x, y = np.array([0, 2, 0, 2, 4, 4, 1]), np.array([0, 2, 4, 4, 4, 3, 4])
+    got = [p for i, j in simhash._crossed(x, y, begin) for p in zip(i.tolist(), j.tolist(), strict=True) if len(i) <= 50 or 1 / 0]
+    want = [(i, j) for a, b in zip(x, y, strict=True) for i in range(begin[a], begin[a + 1]) for j in range(begin[b], begin[b + 1]) if a != b or i < j]
+    assert sorted(got) == sorted(want)
 
 
 def test_all_candidates_are_connected(monkeypatch):

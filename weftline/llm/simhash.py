@@ -14,35 +14,27 @@ from weftline.llm.common import arrow_udf, cut, free_name, ship, slices, stage_t
 from weftline.llm.components import connected_components
 
 BITS = 64
-#: Distinct fingerprints with one key above which the group is cut into finer ones.
-GROUP_ROWS = 20_000
-#: Rows that the trie join takes at once, and node pairs it expands at once.
-JOIN_ROWS, PAIRS = 100_000, 500_000
+#: Rows with one key above which the group is cut into finer ones, or into salted blocks if one word has most of it.
+GROUP_ROWS = 50_000
+#: Rows that the trie join takes at once, and node pairs it expands at once: they bound a task's memory.
+JOIN_ROWS, PAIRS = 50_000, 1 << 16
 #: Shingles hashed at once for one long text.
-SHINGLES = 100_000
+SHINGLES = 16_384
 #: Longs of a wide fingerprint. Each half of one is a word of a trie of its own; pairs that any of them finds within
 #: WORD_BUDGET bits are candidates if all longs together differ by WIDE_BUDGET bits at most.
 #: Set for pairs of similarity 0.8 that differ in one block (about 15 % of the bits): 0.98 of them have such a word, and 80 bits is 3.5 deviations above their mean.
 WIDE, WORD_BUDGET, WIDE_BUDGET = 6, 3, 80
-#: Bits of all longs within which rows of one word are represented by one of them in the first round of candidates.
-RADIUS = 4
+#: Bits of all longs within which rows of one word are represented by one of them in the first round of candidates, and how many rows of a word may lead.
+#: All rows that are near no leader stand for themselves.
+RADIUS, LEADERS = 4, 64
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """A-Z lower-cased, words between ASCII white space, word shingles with repeats; a bit is set if it is in over half the hashes. No words: 0."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    n = len(words) - width + 1
-    votes = np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, SHINGLES):
-        part = words[at : at + SHINGLES + width - 1]
-        hashes = [digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))]
-        votes += np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (n x parts) have each bit set, part by part. Bits are added as bytes, in runs that a byte can count."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    runs = len(bits) // 255
+    head = bits[: 255 * runs].reshape(runs, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return head + bits[255 * runs :].sum(0, dtype=np.uint8)
 
 
 def wide_fingerprint(text: str | None, width: int = 3, seed: int = 42, parts: int = WIDE) -> list[int]:
@@ -52,16 +44,23 @@ def wide_fingerprint(text: str | None, width: int = 3, seed: int = 42, parts: in
         return [0] * parts
     width = min(width, len(words))
     n = len(words) - width + 1
-    votes = np.zeros((parts, BITS), np.int64)
+    votes = np.zeros(parts * BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, SHINGLES):
         part = words[at : at + SHINGLES + width - 1]
-        h = np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))], "<u8")
-        for k in range(parts):
-            votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+        h = np.empty((len(part) - width + 1, parts), "<u8")
+        h[:, 0] = [digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))]
+        for k in range(1, parts):
+            x = h[:, k - 1]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            h[:, k] = x ^ (x >> np.uint64(32))
+        votes += _votes(h)
+    return np.packbits((2 * votes > n).reshape(parts, BITS), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """A-Z lower-cased, words between ASCII white space, word shingles with repeats (fewer words: the whole sequence); a bit is set if it is in over half the hashes. No words: 0."""
+    return wide_fingerprint(text, width, seed, 1)[0]
 
 
 def wide_column(text: Column, width: int = 3, seed: int = 42) -> Column:
@@ -213,27 +212,40 @@ def _spread(rows: DataFrame, keep: list[str], fixed: int, parts: int) -> DataFra
     """Rows (path, rot, and ``keep``) dealt to subtrees of turned tries, each row once for each of ``parts`` blocks of its free bits.
 
     A subtree with over GROUP_ROWS rows is dealt again by a block of the bits that remain, so a hot block spreads however many
-    share it. A subtree whose keys agree in all but 12 bits or fewer has 4,096 different ones at most and is never cut further.
+    share it. Where one word alone has half of GROUP_ROWS, or few bits are left, further bits can't cut: such a subtree is salted into
+    chunks, and each pair of chunks is a group of its own, so no task gets it whole and every pair of rows still meets.
     """
     ship(rows.sparkSession)
-    rows, cold = cut(rows), []
+    rows, done = cut(rows), []
+    names = ["path", "key", "fixed", "rot", *keep]
     while True:
         routed, widths = _routes(rows, keep, fixed, parts)
-        if BITS - fixed - min(widths) <= 12:
-            cold.append(routed)
-            break
-        hot = cut(routed.groupBy("path", "key").count().filter(F.col("count") > GROUP_ROWS).select("path", "key"))
+        runs = routed.groupBy("path", "key", "rot").count().groupBy("path", "key").agg(F.sum("count").alias("n"), F.max("count").alias("run"))
+        hot = cut(runs.filter(F.col("n") > GROUP_ROWS))
         if hot.isEmpty():
-            cold.append(routed)
+            done.append(routed.select(names))
+            break
+        done.append(routed.join(hot, ["path", "key"], "left_anti").select(names))
+        finer = (F.col("run") <= GROUP_ROWS // 2) & F.lit(BITS - fixed - min(widths) > 12)
+        done.append(_salted(routed.join(hot.filter(~finer), ["path", "key"]), keep).select(names))
+        if hot.filter(finer).isEmpty():
             break
-        cold.append(routed.join(hot, ["path", "key"], "left_anti"))
         # a block's width may be one less than another's: the smaller count of agreeing bits holds for all
-        rows, fixed = routed.join(hot, ["path", "key"], "left_semi").select("path", "rot", *keep), fixed + min(widths)
-    every = cold[0]
-    for more in cold[1:]:
+        rows, fixed = routed.join(hot.filter(finer), ["path", "key"], "left_semi").select("path", "rot", *keep), fixed + min(widths)
+    every = done[0]
+    for more in done[1:]:
         every = every.unionByName(more)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.select("path", "key", "fixed", "rot", *keep).repartition(n, "path", "key").sortWithinPartitions("path", "key")
+    return every.repartition(n, "path", "key").sortWithinPartitions("path", "key")
+
+
+def _salted(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of subtrees with ``n`` rows, once for each pair of chunks that their own is in; a path of its own tells a pair of chunks."""
+    chunks = F.ceil(F.col("n") * 2 / GROUP_ROWS).cast("bigint")
+    own = F.pmod(F.xxhash64(*keep), chunks)
+    paired = rows.withColumns({"_own": own, "_chunks": chunks}).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)))
+    pair = F.least("_own", "_other") * F.col("_chunks") + F.greatest("_own", "_other") + 1
+    return paired.withColumn("path", F.col("path") + F.shiftleft(pair, 24))
 
 
 def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
@@ -268,19 +280,34 @@ def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _crossed(x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a row of run x and one of run y (begin[r] to begin[r + 1] are the rows of run r), in pieces; of one run each pair of different rows once."""
-    n = begin[x + 1] - begin[x]
-    of = np.repeat(np.arange(len(x)), n)
-    i = begin[x][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    lo = np.where(x[of] == y[of], i + 1, begin[y][of])
-    size = begin[y + 1][of] - lo
-    ends = np.cumsum(size)
+    """All pairs of a row of run x and one of run y (begin[r] to begin[r + 1] are the rows of run r), in pieces of PAIRS at most; of one run each pair of different rows once."""
+    nx, ny = begin[x + 1] - begin[x], begin[y + 1] - begin[y]
+    size = nx * ny
+    some = (size > 0) & ((x != y) | (nx > 1))
+    small = np.flatnonzero(some & (size <= PAIRS))
+    ends = np.cumsum(size[small])
     at = 0
-    while at < len(i):
+    while at < len(small):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-        k = size[at:to]
-        yield np.repeat(i[at:to], k), np.repeat(lo[at:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        own = small[at:to]
+        of = np.repeat(own, size[own])
+        inner = np.arange(len(of)) - np.repeat(ends[at:to] - size[own] - (ends[at - 1] if at else 0), size[own])
+        i, j = begin[x[of]] + inner // ny[of], begin[y[of]] + inner % ny[of]
+        other = (x[of] != y[of]) | (i < j)
+        yield i[other], j[other]
         at = to
+    for r in np.flatnonzero(some & (size > PAIRS)):
+        wide = min(int(ny[r]), PAIRS)
+        tall = max(1, PAIRS // wide)
+        for a in range(int(begin[x[r]]), int(begin[x[r] + 1]), tall):
+            rows = np.arange(a, min(a + tall, int(begin[x[r] + 1])))
+            for b in range(int(begin[y[r]]), int(begin[y[r] + 1]), wide):
+                columns = np.arange(b, min(b + wide, int(begin[y[r] + 1])))
+                i, j = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
+                if x[r] == y[r]:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
 
 
 def _near_runs(rot: np.ndarray, group: np.ndarray, fixed: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
@@ -294,8 +321,7 @@ def _near_runs(rot: np.ndarray, group: np.ndarray, fixed: int) -> tuple[np.ndarr
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.arange(len(first)), np.arange(len(first))
         for i, j in trie_join(rot[first], starts[big], ends[big], fixed, WORD_BUDGET):
-            for at in range(0, len(i), PAIRS // 8):
-                yield i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
+            yield i, j
 
     return np.append(first, len(rot)), pairs()
 
@@ -309,7 +335,7 @@ def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int
     begin, runs = _near_runs(rot, group, fixed)
     run = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     left, leaders = np.arange(len(rot)), []
-    while len(left):  # each run's first row leads those near it; the others go on
+    while len(left) and len(leaders) < LEADERS:  # each run's first row leads those near it; the others go on
         heads = left[np.flatnonzero(np.concatenate([[True], run[left][1:] != run[left][:-1]]))]
         leaders.append(heads)
         of = heads[np.searchsorted(run[heads], run[left])]
@@ -319,7 +345,7 @@ def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int
         ok = d <= RADIUS
         yield i[ok], j[ok], d[ok]
         left = j[~ok]
-    lead = np.sort(np.concatenate(leaders))
+    lead = np.sort(np.concatenate([*leaders, left]))
     begin = np.searchsorted(run[lead], np.arange(len(begin)))
     for x, y in runs:
         for i, j in _crossed(x, y, begin):
@@ -330,8 +356,8 @@ def _wide_pairs(rot: np.ndarray, group: np.ndarray, wide: np.ndarray, fixed: int
 
 
 def _sorted_words(columns: tuple[np.ndarray, ...]) -> Iterator[tuple]:
-    """Columns (path, key, fixed, rot, wide fingerprint, others) by depth and in order: rot, group, wide, depth, and the order."""
-    path, key, fixed, rot, *wide = columns
+    """Columns (path, key, fixed, rot, node, wide fingerprint, others) by depth and in order: rot, group, wide, depth, and the order."""
+    path, key, fixed, rot, _, *wide = columns
     for depth in np.unique(fixed):
         own = np.flatnonzero(fixed == depth)
         order = own[np.lexsort((wide[0][own], rot[own].view(np.uint64), key[own], path[own]))]
@@ -345,13 +371,13 @@ def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: whole groups (path, key) of words with their wide fingerprints to pairs of first longs that connect all candidates."""
+    """mapInArrow: whole groups (path, key) of words with their nodes and wide fingerprints to pairs of nodes that connect all candidates."""
 
     def join(*columns) -> Iterator[pa.RecordBatch]:
-        first = columns[4]
         for rot, group, wide, depth, order in _sorted_words(columns):
             i, j = spanning(len(order), _wide_pairs(rot, group, wide, depth))
-            yield _pair_batch(first[order][i], first[order][j])
+            names = columns[4][order]
+            yield _pair_batch(names[i], names[j])
 
     yield from _by_group(batches, join)
 
@@ -360,9 +386,8 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: whole groups of words with their wide fingerprints and a component to all candidate pairs of different components."""
 
     def join(*columns) -> Iterator[pa.RecordBatch]:
-        first, component = columns[4], columns[4 + WIDE]
         for rot, group, wide, depth, order in _sorted_words(columns):
-            c, names = component[order], first[order]
+            names, c = columns[4][order], columns[5 + WIDE][order]
             begin, runs = _near_runs(rot, group, depth)
             for x, y in runs:
                 for i, j in _crossed(x, y, begin):
@@ -395,12 +420,12 @@ def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatc
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """``a, b``: pairs of first longs whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more.
+    """``a, b``: pairs of nodes whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more.
 
-    ``nodes``: w0, w1, ... and ``row``, one for each first long; ``texts``: ``row, text``. Candidates come from the tries over all words of the
-    wide fingerprints; the similarity is then exact, from shingle hashes of the texts that are in a candidate pair. First as few pairs are tested as
-    connect all candidates; then all candidate pairs between components of verified links that a failed pair joins. So the links connect what all
-    similar candidates connect.
+    ``nodes``: ``node`` (a number of its own) and w0, w1, ...; ``texts``: ``node, text``. Candidates come from the tries over all words of the
+    wide fingerprints; the similarity is then computed from the shingles of the texts that are in a candidate pair. First as few pairs are tested as
+    connect all candidates (of nodes with one fingerprint the least stands for all, and each other is tested against it); then all candidate pairs
+    between components of verified links that a failed pair joins. So the links connect what all similar candidates connect.
     """
     wide = [f"w{k}" for k in range(WIDE)]
     half = [x for k in range(WIDE) for x in (F.shiftrightunsigned(F.col(f"w{k}"), 32), F.col(f"w{k}").bitwiseAND(0xFFFFFFFF))]
@@ -412,13 +437,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
     def tested(pairs: DataFrame) -> DataFrame:
         """The pairs with ``similar``."""
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        chosen = nodes.select(F.col("w0").alias("node"), "row").join(ends, "node").join(texts, "row").select("node", "text")
-        sets = stage_table(chosen.select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
+        sets = stage_table(texts.join(ends, "node", "left_semi").select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
         both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         return cut(both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("similar")))
 
-    first = tested(cut(candidates(nodes, wide, _candidates)))
+    heads = cut(nodes.groupBy(*wide).agg(F.min("node").alias("node")).select("node", *wide))
+    members = nodes.join(heads.withColumnRenamed("node", "head"), wide).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first = tested(cut(candidates(heads, ["node", *wide], _candidates).unionByName(members)))
     links, failed = first.filter("similar").select("a", "b"), first.filter("not similar").select("a", "b")
     # a failed pair that joins two components of verified links hides what other pairs of theirs would join: those are all tested
     roots = connected_components(links)
@@ -427,19 +453,24 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
     opened = cut(ends.select(F.col("x").alias("component")).unionByName(ends.select(F.col("y").alias("component"))).distinct())
     if opened.isEmpty():
         return links
-    placed = nodes.join(roots.withColumnRenamed("node", "w0"), "w0", "left").withColumn("component", F.coalesce("root", "w0"))
-    again = cut(placed.join(opened, "component", "left_semi").select(*wide, "component"))
-    more = tested(cut(candidates(again, [*wide, "component"], _apart).join(failed, ["a", "b"], "left_anti")))
+    placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    again = cut(placed.join(opened, "component", "left_semi").select("node", *wide, "component"))
+    more = tested(cut(candidates(again, ["node", *wide, "component"], _apart).join(failed, ["a", "b"], "left_anti")))
     return links.unionByName(more.filter("similar").select("a", "b"))
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
-    """The different shingles of a text (fewer words: the whole sequence) as 32-bit hashes, in order."""
+    """The different shingles of a text (fewer words: the whole sequence) as 32-bit hashes, in order. Two shingles of two texts of 1,000 words share a hash by chance once in some 4,000 such pairs."""
 
     @arrow_udf("array<int>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingle_hashes(t, width) for part in slices(batch) for t in part.to_pylist()], pa.list_(pa.int32()))
+            done = [pa.array([], pa.list_(pa.int32()))]
+            for part in slices(batch):
+                sets = [shingle_hashes(t, width) for t in part.to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                done.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))))
+            yield pa.concat_arrays(done)
 
     return shingles(text)
 
@@ -488,15 +519,17 @@ def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: i
 def keep_one_similar(df: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``df``, whole, that stay: one of each group of near copies, the one with the smallest id (of rows with that id the first by position).
 
-    Groups: texts with one 64-bit fingerprint, and chains of texts whose ``width``-word shingles have a similarity of ``least`` or more. Links that SimHash
+    Groups: equal texts (told by 448 bits of hashes), and chains of texts whose ``width``-word shingles have a similarity of ``least`` or more. Links that SimHash
     candidates miss stay unfound (the README has the measured recall); none that are found are below ``least``. Null and wordless texts are one group.
     """
-    fp, row = free_name(df, "fp"), free_name(df, "row")
-    staged = stage_table(df.withColumns({fp: wide_column(F.col(text)), row: F.monotonically_increasing_id()}), "rows")
-    slim = staged.select(F.col(f"{fp}.*"), F.col(row).alias("row"), F.col(id_col).alias("id"))
+    fp, row, digest = free_name(df, "fp"), free_name(df, "row"), free_name(df, "digest")
+    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    staged = stage_table(df.withColumns({fp: wide_column(F.col(text)), row: F.monotonically_increasing_id(), digest: whole}), "rows")
     wide = [f"w{k}" for k in range(WIDE)]
-    nodes = cut(slim.groupBy("w0").agg(F.min(F.struct("row", *wide[1:])).alias("r")).select("w0", "r.*"))
-    roots = connected_components(similar_links(nodes, staged.select(F.col(row).alias("row"), F.col(text).alias("text")), least, width))
-    placed = slim.select("w0", "row", "id").join(roots.withColumnRenamed("node", "w0"), "w0", "left").select("row", "id", F.coalesce("root", "w0").alias("root"))
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    slim = staged.select(F.col(f"{fp}.*"), F.col(digest).alias("digest"), F.col(row).alias("row"), F.col(id_col).alias("id"))
+    # of each text the first row is the node; what its rows have of ids is known before any join
+    nodes = cut(slim.groupBy("digest", *wide).agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")))
+    links = similar_links(nodes.select("node", *wide), staged.select(F.col(row).alias("node"), F.col(text).alias("text")), least, width)
+    placed = nodes.select("node", "first").join(connected_components(links), "node", "left")
+    kept = placed.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return staged.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(df.columns)
