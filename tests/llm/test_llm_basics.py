@@ -575,24 +575,31 @@ def test_typography_is_no_edit():
         assert decontaminate.normalized(words) in decontaminate.normalized(part)
 
 
-def test_counted_runs_only_leave_out_what_is_beyond_the_limit():
+def test_pieces_only_rule_out_what_is_beyond_the_limit():
+    np = decontaminate.np
     rng = random.Random(8)
     for alphabet in ("abcde ", "aéß日 "):
-        items = [(i, "".join(rng.choices(alphabet, k=rng.randrange(20, 120)))) for i in range(20)]
-        items = [(i, t) for i, t in items if decontaminate.WORDS.search(t)]
-        index = decontaminate.Index(items, keys=1)
-        index.build()
-        for _ in range(300):
-            at = rng.randrange(len(items))
-            own = decontaminate.normalized(items[at][1])
+        patterns = [decontaminate.normalized("x" + "".join(rng.choices(alphabet, k=rng.randrange(1, 200)))) for _ in range(30)]
+        texts = []
+        for own in patterns:
             c = list(own)
-            for p in rng.sample(range(len(c)), min(len(c), rng.randrange(0, len(c) // 4 + 1))):
-                c[p] = rng.choice((rng.choice(alphabet.strip()), "", c[p] + "日"))
-            text = "".join(c)
-            data = decontaminate.np.frombuffer(text.encode(), decontaminate.np.uint8)
-            local, counts, least = index._grams(at)
-            kept = decontaminate.np.minimum(decontaminate.np.bincount(local[decontaminate.grams_of(data)], minlength=len(counts)), counts).sum() >= least
-            assert kept or decontaminate.myers(own, text)[0] > int(0.2 * len(own))
+            for p in rng.sample(range(len(c)), rng.randrange(0, len(c) // 3 + 1)):
+                c[p] = rng.choice((rng.choice(alphabet), "", c[p] + "日"))
+            texts.append(rng.choice(("", "zz ")) + "".join(c) + rng.choice(("", " aé")))
+        parts = [decontaminate.piece_masks(decontaminate.char_codes(np.frombuffer(p.encode(), np.uint8))[0]) for p in patterns]
+        codes, char_of = decontaminate.char_codes(np.frombuffer("".join(texts).encode(), np.uint8))
+        ends = np.cumsum([len(t) for t in texts])
+        assert len(codes) == ends[-1]
+        begin, end = ends - [len(t) for t in texts], ends
+        sizes = [len(m) for m, _ in parts]
+        got = decontaminate.least_distances(np.concatenate([m for m, _ in parts]), np.concatenate([b for _, b in parts]), codes, np.repeat(begin, sizes), np.repeat(end, sizes))
+        at = 0
+        for own, text, n in zip(patterns, texts, sizes, strict=True):
+            exact = [decontaminate.myers(own[64 * k : 64 * k + 64], text)[0] for k in range(n)]
+            assert all(g <= e for g, e in zip(got[at : at + n], exact, strict=True)) and got[at : at + n].sum() <= decontaminate.myers(own, text)[0]
+            if alphabet.isascii() and text.isascii():
+                assert got[at : at + n].tolist() == exact
+            at += n
 
 
 def test_myers_stops_only_beyond_most():

@@ -122,14 +122,28 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def chars_of(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words, each word followed by one 0 (if anything is between it and the next); the word of each; the first of each text."""
+    """The bytes of all words, each word followed by one 0 (if anything is between it and the next) and each text by as many as a walk may read; the word of each; where each text begins and the next would."""
     low = _BYTE[data]
     kept = low != 0
     kept[w.end[w.end < len(low)]] = True
     marks = np.zeros(len(low), np.int32)
     marks[w.start] = 1
     at = np.flatnonzero(kept)
-    return low[at], np.cumsum(marks, dtype=np.int32)[at] - 1, np.searchsorted(at, np.append(w.start, len(low))[w.first])
+    first = np.searchsorted(at, np.append(w.start, len(low))[w.first])
+    gap = 2 * CHARS
+    to = np.arange(len(at)) + gap * np.repeat(np.arange(len(first) - 1), np.diff(first))
+    chars, word = np.zeros(len(at) + gap * (len(first) - 1), np.uint8), np.zeros(len(at) + gap * (len(first) - 1), np.int32)
+    chars[to] = low[at]
+    word[to] = np.cumsum(marks, dtype=np.int32)[at] - 1
+    return chars, word, first + gap * np.arange(len(first))
+
+
+def char_windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of characters begin in texts that chars_of has laid out, at every ``stride``-th character, and the text of each."""
+    size = np.diff(first) - 2 * CHARS
+    n = np.maximum(0, (size - CHARS) // stride + 1) * (size >= CHARS)
+    text = np.repeat(np.arange(len(n)), n)
+    return first[text] + stride * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)), text
 
 
 def myers(pattern: str, text: str, most: int | None = None) -> tuple[int, int]:
@@ -165,19 +179,54 @@ def myers(pattern: str, text: str, most: int | None = None) -> tuple[int, int]:
     return best, at
 
 
-#: Values that a run of three bytes is hashed to, to count them.
-GRAMS = 1 << 12
-#: Items whose counts of such runs a worker keeps.
-KEPT_ITEMS = 4096
-
-
-def grams_of(data: np.ndarray) -> np.ndarray:
-    """A hash of the three bytes from each place on."""
-    if len(data) < 3:
-        return np.array([], np.uint16)
-    x = data.astype(np.uint32)
-    x = x[:-2] * _U32(40503) + x[1:-1] * _U32(2654435) + x[2:] * _U32(97)
-    return ((x ^ (x >> _U32(11))) & _U32(GRAMS - 1)).astype(np.uint16)
+#: Characters of a piece of an item: what one machine word holds. Values that characters are told apart by: ASCII, and 64 for all others.
+PIECE, CODES = 64, 192
+#: Pieces that are compared with their stretches of text at once, and items whose pieces a worker keeps.
+PIECES, KEPT_ITEMS = 2048, 4096
+
+
+def char_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each character of UTF-8 bytes, and the character that each byte belongs to. Different characters may share a code."""
+    first = (data & np.uint8(0xC0)) != np.uint8(0x80)
+    at = np.flatnonzero(first)
+    lead = data[at].astype(np.int64)
+    behind = data[np.minimum(at + 1, max(0, len(data) - 1))] & np.uint8(63)
+    return np.where(lead < 128, lead, 128 + behind).astype(np.uint8), np.cumsum(first) - 1
+
+
+def piece_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece of an item: for each code the places that have it, as bits; and the bit of its last place."""
+    n = -(-len(codes) // PIECE)
+    masks = np.zeros((n, CODES), np.uint64)
+    place = np.arange(len(codes))
+    np.bitwise_or.at(masks, (place // PIECE, codes), _U(1) << (place % PIECE).astype(np.uint64))
+    sizes = np.minimum(PIECE, len(codes) - PIECE * np.arange(n))
+    return masks, _U(1) << (sizes - 1).astype(np.uint64)
+
+
+def least_distances(masks: np.ndarray, last: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each piece its least edit distance to any part of codes[begin:end], all pieces at once: bit-parallel, a step for each character of the longest stretch."""
+    n, steps = len(begin), int((end - begin).max(initial=0))
+    # places behind a stretch's end hold a character that no piece has, which never lowers a distance
+    padded, filler = np.append(codes, np.uint8(0)), len(codes)
+    row = np.arange(n) * CODES
+    flat = masks.ravel()
+    pv, mv = np.full(n, ~_U(0)), np.zeros(n, np.uint64)
+    score = np.bitwise_count(last - _U(1)).astype(np.int64) + 1
+    best = score.copy()
+    for step in range(steps):
+        at = begin + step
+        eq = flat[row + padded[np.where(at < end, at, filler)]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += (ph & last) != 0
+        score -= (mh & last) != 0
+        np.minimum(best, score, out=best)
+        ph <<= _U(1)
+        mh <<= _U(1)
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return best
 
 
 @dataclass
@@ -228,7 +277,7 @@ class Index:
         stride = STRIDE if len(found) and found.min() >= 2 * STRIDE - 1 else 1
         fits = {i: [s for s in SIZES if s <= max(1, n - stride + 1)] for i, n in enumerate(counts) if n}
         sizes = {i: {f[-1]} if len(texts[i]) >= LONG else {f[-1], min(f[-1], FINE)} for i, f in fits.items()}
-        self.ready = {"stride": stride, "sizes": sorted(set().union(*sizes.values())), "normal": normal, "words": counts, "grams": {}}
+        self.ready = {"stride": stride, "sizes": sorted(set().union(*sizes.values())), "normal": normal, "words": counts, "pieces": {}}
         rng = np.random.Generator(np.random.PCG64(self.seed))
         steps = 2 * max([CHARS, *self.ready["sizes"]])
         turn = rng.integers(1, 1 << 63, (WALKS, steps), np.uint64) | _U(1)
@@ -258,8 +307,8 @@ class Index:
             keys = self.embed(w.hashes, own, w.first[1:][item_of[own]], [s])
             add(keys, item_of[own], offset[own])
         chars, word, first = chars_of(data, w)
-        own = np.flatnonzero(np.arange(len(chars)) + CHARS <= first[1:][item_of[word]])
-        add(self.embed_chars(chars, own, first[1:][item_of[word[own]]]), item_of[word[own]], offset[word[own]])
+        own, item = char_windows(first, 1)
+        add(self.embed_chars(chars, own), item, offset[word[own]])
         return self.ready
 
     def embed(self, hashes: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: list[int]) -> dict:
@@ -286,10 +335,10 @@ class Index:
             key *= _U(0x94D049BB133111EB)
         return out
 
-    def embed_chars(self, chars: np.ndarray, at: np.ndarray, end: np.ndarray) -> dict:
-        """The same for characters, whose hashes and turns are tables of a few values; keys are by (walk, 0, number)."""
+    def embed_chars(self, chars: np.ndarray, at: np.ndarray) -> dict:
+        """The same for characters, whose hashes and turns are tables of a few values; keys are by (walk, 0, number). No step has to look for a text's end, as chars_of sets texts apart."""
         r, out = self.ready, {}
-        padded, filler, end = np.append(chars, np.uint8(0)), np.int32(len(chars)), end.astype(np.int32)
+        padded = chars.astype(np.intp)
         for walk in range(CHAR_WALKS):
             where = {}
             for k in range(self.keys):
@@ -297,12 +346,13 @@ class Index:
                 out[walk, 0, k] = np.full(len(at), salt, _U)
                 for j, f in zip(steps.tolist(), factors, strict=True):
                     where.setdefault(j, []).append((out[walk, 0, k], _CHAR * f))
-            i = at.astype(np.int32)
+            i, share, turn = at.astype(np.intp), np.empty(len(at), _U), np.empty(len(at), np.intp)
+            x = np.empty(len(at), np.intp)
             for j in range(max(where) + 1):
-                x = padded[np.where(i < end, i, filler)]
+                np.take(padded, i, out=x, mode="clip")
                 for key, table in where.get(j, ()):
-                    key += table[x]
-                i += ((_CHAR * r["turn"][walk, j]) >> _U(63)).astype(np.int32)[x]
+                    key += np.take(table, x, out=share, mode="clip")
+                i += np.take(((_CHAR * r["turn"][walk, j]) >> _U(63)).astype(np.intp), x, out=turn, mode="clip")
         for key in out.values():
             key ^= key >> _U(32)
             key *= _U(0x94D049BB133111EB)
@@ -328,11 +378,9 @@ class Index:
         inner = np.arange(len(w.hashes)) - w.first[:-1][text_of]
         at = np.flatnonzero(inner % r["stride"] == 0)
         chars, word_of, first = chars_of(data, w)
-        char_at = np.arange(0, len(chars), CHAR_STRIDE)
-        char_end = first[1:][text_of[word_of[char_at]]]
-        char_at, char_end = char_at[char_at + CHARS <= char_end], char_end[char_at + CHARS <= char_end]
+        char_at, _ = char_windows(first, CHAR_STRIDE)
         char_word = word_of[char_at]
-        found = self.embed(w.hashes, at, w.first[1:][text_of[at]], r["sizes"]) | self.embed_chars(chars, char_at, char_end)
+        found = self.embed(w.hashes, at, w.first[1:][text_of[at]], r["sizes"]) | self.embed_chars(chars, char_at)
         for name, keys in found.items():
             bits, table, items, offs = r["tables"][name]
             near = np.flatnonzero(bits[keys >> _U(44)])
@@ -358,51 +406,63 @@ class Index:
         span = int(every[:, 2].max() - low) + 1
         packed = np.unique((every[:, 0] * len(self.items) + every[:, 1]) * span + (every[:, 2] - low))
         pairs, places = packed // span, packed % span + low
-        grams, best, done, last = grams_of(data), {}, -1, -1
+        # candidates for one item whose places are next to each other are one stretch of text, checked once
+        stays, done, last = [], -1, -1
         for pair, word in zip(pairs.tolist(), places.tolist(), strict=True):
-            # candidates for one item whose places are next to each other are one stretch of text, checked once
-            if pair == last and word <= done:
-                continue
-            last, done = pair, word + 1
-            text, item = divmod(pair, len(self.items))
-            if got := self._verified(data, grams, w, text, item, word):
-                if pair not in best or got[0] < best[pair][0]:
-                    best[pair] = got
+            if pair != last or word > done:
+                last, done = pair, word + 1
+                stays.append((*divmod(pair, len(self.items)), word))
+        best = {}
+        for text, item, a, b in self._possible(data, w, stays):
+            pattern, pair = self.ready["normal"][item], text * len(self.items) + item
+            distance, _ = myers(pattern, data[int(w.start[a]) : int(w.end[b - 1])].tobytes().decode("utf-8", "surrogatepass"), most := int(self.edits * len(pattern)))
+            if distance <= most and (pair not in best or distance < best[pair][0]):
+                best[pair] = (distance, a, b)
         for pair, (distance, a, b) in best.items():
             text, item = divmod(pair, len(self.items))
             begin, end = _bytes_of(texts[text], a - int(w.first[text]), b - 1 - int(w.first[text]))
             out[text].append((self.items[item][0], distance, begin, end))
         return [sorted(x, key=lambda y: (y[0] is None, y[0] or 0, y[1:])) for x in out]
 
-    def _verified(self, data: np.ndarray, grams: np.ndarray, w: Words, text: int, item: int, word: int) -> tuple[int, int, int] | None:
-        """(distance, first word, end) of the stretch around the word, if the item is within the limit in it."""
-        first, last = int(w.first[text]), int(w.first[text + 1])
-        pattern, n = self.ready["normal"][item], int(self.ready["words"][item])
-        # edits before a place move it by fewer words than they are
-        slack, most = max(4, n // 4), int(self.edits * len(pattern))
-        a, b = max(first, word - slack), min(last, word + n + slack + 1)
-        if a >= b:
-            return None
-        begin, end = int(w.start[a]), int(w.end[b - 1])
-        local, counts, least = self._grams(item)
-        if least > 0 and int(np.minimum(np.bincount(local[grams[begin : max(begin, end - 2)]], minlength=len(counts)), counts).sum()) < least:
-            return None
-        distance, _ = myers(pattern, data[begin:end].tobytes().decode("utf-8", "surrogatepass"), most)
-        return (distance, a, b) if distance <= most else None
-
-    def _grams(self, item: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """How often the item has each run of three bytes, and how many of them a text within the limit has too: an edit of one character spoils three, or more where characters take more bytes."""
-        kept = self.ready["grams"]
+    def _possible(self, data: np.ndarray, w: Words, candidates: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of the candidates' stretches, without those that can't be within the limit.
+
+        The least distances of an item's pieces to a stretch sum up to no more than the item's own, so a sum beyond the limit rules a stretch out.
+        """
+        codes, char_of = char_codes(data)
+        stretches = []
+        for text, item, word in candidates:
+            first, last = int(w.first[text]), int(w.first[text + 1])
+            n = int(self.ready["words"][item])
+            slack = max(4, n // 4)  # edits before a place move it by fewer words than they are
+            a, b = max(first, word - slack), min(last, word + n + slack + 1)
+            if a < b:
+                stretches.append((int(char_of[w.start[a]]), int(char_of[w.end[b - 1] - 1]) + 1, text, item, a, b))
+        stretches.sort(key=lambda x: x[1] - x[0])  # those of like length go together
+        at = 0
+        while at < len(stretches):
+            some, masks, bits, count = [], [], [], 0
+            while at < len(stretches) and (not some or count < PIECES):
+                m, last_bits = self._pieces(stretches[at][3])
+                masks.append(m)
+                bits.append(last_bits)
+                some.append(stretches[at])
+                count += len(m)
+                at += 1
+            sizes = np.array([len(m) for m in masks])
+            begin, end = (np.repeat(np.array([x[i] for x in some]), sizes) for i in range(2))
+            least = least_distances(np.concatenate(masks), np.concatenate(bits), codes, begin, end)
+            total = np.add.reduceat(least, np.cumsum(sizes) - sizes)
+            for (_, _, text, item, a, b), d in zip(some, total.tolist(), strict=True):
+                if d <= int(self.edits * len(self.ready["normal"][item])):
+                    yield text, item, a, b
+
+    def _pieces(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        kept = self.ready["pieces"]
         if item not in kept:
             if len(kept) >= KEPT_ITEMS:
                 kept.clear()
-            pattern = self.ready["normal"][item]
-            raw = np.frombuffer(pattern.encode("utf-8", "surrogatepass"), np.uint8)
-            codes, n = np.unique(grams_of(raw), return_counts=True)
-            local = np.zeros(GRAMS, np.int16)
-            local[codes] = np.arange(1, len(codes) + 1)
-            widest = 1 if len(raw) == len(pattern) else 4
-            kept[item] = (local, np.concatenate([[0], n]), len(raw) - 2 - (widest + 2) * int(self.edits * len(pattern)))
+            kept[item] = piece_masks(char_codes(np.frombuffer(self.ready["normal"][item].encode("utf-8", "surrogatepass"), np.uint8))[0])
         return kept[item]
 
 
