@@ -18,6 +18,8 @@ BITS = 64
 GROUP_ROWS = 50_000
 #: Rows that the trie join takes at once, and node pairs it expands at once: they bound a task's memory.
 JOIN_ROWS, PAIRS = 50_000, 1 << 16
+#: Two nodes with so many pairs of keys at most are compared key by key: below that a trie costs more than it prunes.
+LEAF = 256
 #: Shingles hashed at once for one long text.
 SHINGLES = 16_384
 #: Longs of a wide fingerprint. Each half of one is a word of a trie of its own; pairs that any of them finds within
@@ -96,13 +98,46 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def _products(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a place in [x, x + nx) and one in [y, y + ny), in pieces of PAIRS at most; of a range with itself each pair of different places once."""
+    size = nx * ny
+    some = (size > 0) & ((x != y) | (nx > 1))
+    small = np.flatnonzero(some & (size <= PAIRS))
+    ends = np.cumsum(size[small])
+    at = 0
+    while at < len(small):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        own = small[at:to]
+        of = np.repeat(own, size[own])
+        inner = np.arange(len(of)) - np.repeat(ends[at:to] - size[own] - (ends[at - 1] if at else 0), size[own])
+        up, rest = np.divmod(inner, ny[of])
+        i, j = x[of] + up, y[of] + rest
+        if (x[own] == y[own]).any():
+            other = (x[of] != y[of]) | (i < j)
+            i, j = i[other], j[other]
+        yield i, j
+        at = to
+    for r in np.flatnonzero(some & (size > PAIRS)):
+        wide = min(int(ny[r]), PAIRS)
+        tall = max(1, PAIRS // wide)
+        for a in range(int(x[r]), int(x[r] + nx[r]), tall):
+            rows = np.arange(a, min(a + tall, int(x[r] + nx[r])))
+            for b in range(int(y[r]), int(y[r] + ny[r]), wide):
+                columns = np.arange(b, min(b + wide, int(y[r] + ny[r])))
+                i, j = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
+                if x[r] == y[r]:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
+
+
 def trie_join(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, fixed: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs within ``budget`` differing bits inside each range, in pieces.
 
     ``keys``: distinct unsigned keys, ascending in each range [start, end); those of a range agree in the top ``fixed`` bits,
     so a range is a subtree of the binary trie. A node is a range of keys with one prefix. Node pairs descend
     together bit by bit, carrying the number of bits that differ; a pair over the budget is dropped with all that is
-    below it. Two leaves are compared at once. Pairs wait on a stack in pieces of bounded size.
+    below it. Nodes of few keys are leaves, whose keys are compared at once. Pairs wait on a stack in pieces of bounded size.
     """
     ones = {}
 
@@ -119,14 +154,15 @@ def trie_join(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, fixed: int
             half = f.shape[1] // 2
             stack += [(bit, f[:, :half]), (bit, f[:, half:])]
             continue
-        same = f[0] == f[2]
-        leaves = (f[1] - f[0] == 1) & (f[3] - f[2] == 1) & ~same
+        nx, ny = f[1] - f[0], f[3] - f[2]
+        leaves = nx * ny <= LEAF if bit < BITS else np.ones(f.shape[1], bool)
         if leaves.any():
-            i, j = f[0][leaves], f[2][leaves]
-            near = popcount(keys[i] ^ keys[j]) <= budget
-            yield i[near], j[near]
-        f = f[:, ~leaves & ~(same & (f[1] - f[0] < 2))]
-        if bit == BITS or not f.shape[1]:
+            for i, j in _products(f[0][leaves], nx[leaves], f[2][leaves], ny[leaves]):
+                near = popcount(keys[i] ^ keys[j]) <= budget
+                if near.any():
+                    yield i[near], j[near]
+            f = f[:, ~leaves]
+        if not f.shape[1]:
             continue
         same = f[0] == f[2]
         m1, m2, d = split(f[0], f[1], bit), split(f[2], f[3], bit), f[4]
@@ -280,34 +316,8 @@ def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _crossed(x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a row of run x and one of run y (begin[r] to begin[r + 1] are the rows of run r), in pieces of PAIRS at most; of one run each pair of different rows once."""
-    nx, ny = begin[x + 1] - begin[x], begin[y + 1] - begin[y]
-    size = nx * ny
-    some = (size > 0) & ((x != y) | (nx > 1))
-    small = np.flatnonzero(some & (size <= PAIRS))
-    ends = np.cumsum(size[small])
-    at = 0
-    while at < len(small):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-        own = small[at:to]
-        of = np.repeat(own, size[own])
-        inner = np.arange(len(of)) - np.repeat(ends[at:to] - size[own] - (ends[at - 1] if at else 0), size[own])
-        i, j = begin[x[of]] + inner // ny[of], begin[y[of]] + inner % ny[of]
-        other = (x[of] != y[of]) | (i < j)
-        yield i[other], j[other]
-        at = to
-    for r in np.flatnonzero(some & (size > PAIRS)):
-        wide = min(int(ny[r]), PAIRS)
-        tall = max(1, PAIRS // wide)
-        for a in range(int(begin[x[r]]), int(begin[x[r] + 1]), tall):
-            rows = np.arange(a, min(a + tall, int(begin[x[r] + 1])))
-            for b in range(int(begin[y[r]]), int(begin[y[r] + 1]), wide):
-                columns = np.arange(b, min(b + wide, int(begin[y[r] + 1])))
-                i, j = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
-                if x[r] == y[r]:
-                    i, j = i[i < j], j[i < j]
-                if len(i):
-                    yield i, j
+    """All pairs of a row of run x and one of run y (begin[r] to begin[r + 1] are the rows of run r), in pieces; of one run each pair of different rows once."""
+    return _products(begin[x], begin[x + 1] - begin[x], begin[y], begin[y + 1] - begin[y])
 
 
 def _near_runs(rot: np.ndarray, group: np.ndarray, fixed: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
