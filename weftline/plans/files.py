@@ -14,6 +14,7 @@ from weftline.functions import lines as L
 from weftline.operators import dictionary, merge, order
 from weftline.options import GeneratorOptions, SortOptions, format_size
 from weftline.plans.strategy import choose_strategy
+from weftline.sessions import derived
 from weftline.sinks import files
 from weftline.sources import generator
 from weftline.sources.text_lines import parse_lines, scan_text
@@ -45,14 +46,7 @@ def chunked(spark: SparkSession, chunk_bytes: int) -> SparkSession:
     """The session, or one of its own for the job whose scans are split into chunks of ``chunk_bytes`` at most."""
     name = "spark.sql.files.maxPartitionBytes"
     have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if chunk_bytes >= have:
-        return spark
-    own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if own.conf.isModifiable(key):
-            own.conf.set(key, value)
-    own.conf.set(name, str(chunk_bytes))
-    return own
+    return spark if chunk_bytes >= have else derived(spark, {name: str(chunk_bytes)})
 
 
 class JobGroup:
