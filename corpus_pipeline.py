@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, langid, sentencepieces, simhash, toxicity
-from weftline.llm.common import documents, stage_table
+from weftline.llm.common import documents
+from weftline.staging import owned, staged_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``. What a stage stages on its way is deleted when its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        path = staged_path(spark, name)
+        with owned(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
