@@ -575,6 +575,11 @@ def test_typography_is_no_edit():
         assert decontaminate.normalized(words) in decontaminate.normalized(part)
 
 
+def test_normalised_texts_by_hand(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["".join(map(chr, range(128))), "A_b-C'd 1.5\x1c\x1fE", "", " \t"]
+    assert all(decontaminate.normalized(t) == " ".join(decontaminate.WORDS.findall(t.lower())) for t in texts)
+
+
 def test_pieces_only_rule_out_what_is_beyond_the_limit():
     np = decontaminate.np
     rng = random.Random(8)

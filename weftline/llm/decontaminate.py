@@ -51,7 +51,14 @@ _BYTE = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum()
 _CHAR = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
 
 
+#: For each ASCII byte itself in lower case if words are made of it, else a space.
+_ASCII = bytes(b + 32 if 65 <= b <= 90 else b if b < 128 and (chr(b).isalnum() or b == 95) else 32 for b in range(256))
+
+
 def normalized(text: str) -> str:
+    """The words in lower case with one space between."""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split()).decode()
     return " ".join(WORDS.findall(lowered(text)))
 
 
