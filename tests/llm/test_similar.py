@@ -107,8 +107,8 @@ def test_hot_words_are_cut_and_salted_without_losing_a_pair(spark, monkeypatch):
     n = 400
     wide = np.zeros((n, simhash.WIDE), np.int64)
     wide[:, 1] = rng.integers(0, 1 << 16, n) << 8  # all share every other word, so that those groups can't be cut by bits
-    fields = [f"w{k}" for k in range(simhash.WIDE)]
-    rows = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(wide)], ", ".join(f"{f} bigint" for f in ["node", *fields]))
+    fields = [*(f"w{k}" for k in range(simhash.WIDE)), "component"]
+    rows = spark.createDataFrame([(i, *map(int, w), i) for i, w in enumerate(wide)], ", ".join(f"{f} bigint" for f in ["node", *fields]))
     words = rows.selectExpr("node", *fields, "posexplode(array(shiftrightunsigned(w0, 32), w1 & 4294967295)) as (path, rot)").selectExpr("cast(path + 1 as bigint) path", "rot", "node", *fields)
     dealt = simhash._spread(words, ["node", *fields], 32, simhash.WORD_BUDGET + 1)
     assert max(r["count"] for r in dealt.groupBy("path", "key").count().collect()) <= 3 * simhash.GROUP_ROWS
@@ -161,3 +161,34 @@ def test_block_edits_at_the_bound_are_found(spark, kind):
         rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(other))]
     kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
     assert kept - pairs <= 0.05 * pairs
+
+
+def test_a_family_around_the_bound_is_not_tested_pair_by_pair(spark):
+    """Edited copies of one text, of which about half the pairs are similar: one component, far fewer tests than pairs."""
+    rng, n = random.Random(31), 150
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(3 + i % 4):
+            words[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    similar = [(a, b) for a in range(n) for b in range(a + 1, n) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 0.2 < len(similar) / (n * (n - 1) / 2) < 0.99
+    root = simhash.forest(n, iter([tuple(np.array(similar).T)]))
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.tolist()))
+
+
+def test_allowed_candidates_of_each_row():
+    n = 60
+    wide = [np.zeros(n, np.int64)] * simhash.WIDE
+    columns = [np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, 40), np.zeros(n, np.int64), np.arange(n), *wide, np.arange(n) // 2]
+    batch = simhash.pa.record_batch([simhash.pa.array(c) for c in columns], names=list("abcdefghijkl"))
+    for allowed in (1, 4, 16, 64):
+        got = [(a, b) for r in simhash._apart(allowed)(iter([batch])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
+        pairs = [p for p in got if p[0] is not None]
+        assert len(set(pairs)) == len(pairs) <= n * allowed and all(a // 2 != b // 2 for a, b in pairs)
+        assert all(sum(i in p for p in pairs) >= min(allowed, n - 2) for i in range(n))
+        assert ((None, None) in got) == (len(pairs) < n * (n - 2) // 2)

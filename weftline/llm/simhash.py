@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_udf, cut, free_name, ship, slices, stage_table
 from weftline.llm.components import connected_components
+from weftline.staging import owned
 
 BITS = 64
 #: Rows with one key above which the group is cut into finer ones, or into salted blocks if one word has most of it.
@@ -29,6 +30,10 @@ WIDE, WORD_BUDGET, WIDE_BUDGET = 6, 3, 80
 #: Bits of all longs within which rows of one word are represented by one of them in the first round of candidates, and how many rows of a word may lead.
 #: All rows that are near no leader stand for themselves.
 RADIUS, LEADERS = 4, 64
+#: Halves of longs whose candidates are tested first, so that those of all others are few.
+FIRST_WORDS = 3
+#: Candidates of a row that a round tests in each group where components of verified links stay apart; each round tests so many times more than the one before.
+MORE = 4
 
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
@@ -293,9 +298,12 @@ def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
     return _spread(rows, ["fp"], 0, budget + 1).mapInArrow(_links_of(budget), "a bigint, b bigint").distinct()
 
 
-def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of weighted pairs, given in pieces, as few as connect what they connect: again and again each component takes its nearest link to a smaller one."""
+def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of weighted pairs, given in pieces, as few as connect what they connect: again and again each component takes its nearest link to a smaller one. Items of one ``component`` are connected already."""
     root, a, b = np.arange(n), [], []
+    if component is not None and n:
+        _, first, of = np.unique(component, return_index=True, return_inverse=True)
+        root = first[of]
     for i, j, weight in pieces:
         while len(i):
             x, y = root[i], root[j]
@@ -381,33 +389,55 @@ def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: whole groups (path, key) of words with their nodes and wide fingerprints to pairs of nodes that connect all candidates."""
+    """mapInArrow: whole groups (path, key) of words with their nodes, wide fingerprints and components to pairs of nodes that connect all candidates."""
 
     def join(*columns) -> Iterator[pa.RecordBatch]:
         for rot, group, wide, depth, order in _sorted_words(columns):
-            i, j = spanning(len(order), _wide_pairs(rot, group, wide, depth))
+            i, j = spanning(len(order), _wide_pairs(rot, group, wide, depth), columns[5 + WIDE][order])
             names = columns[4][order]
             yield _pair_batch(names[i], names[j])
 
     yield from _by_group(batches, join)
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: whole groups of words with their wide fingerprints and a component to all candidate pairs of different components."""
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """How many of the same value are before each."""
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else order
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return out
+
+
+def _apart(allowed: int):
+    """mapInArrow: whole groups of words with their nodes, wide fingerprints and components to candidate pairs of different components: those that a row
+    which has not yet ``allowed`` of them has; a pair of nulls tells that there are more."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def join(*columns) -> Iterator[pa.RecordBatch]:
+            for rot, group, wide, depth, order in _sorted_words(columns):
+                names, c = columns[4][order], columns[5 + WIDE][order]
+                begin, runs = _near_runs(rot, group, depth)
+                had, more = np.zeros(len(order), np.int64), False
+                for x, y in runs:
+                    for i, j in _crossed(x, y, begin):
+                        other = np.flatnonzero(c[i] != c[j])
+                        other = other[np.bitwise_count(wide[i[other]] ^ wide[j[other]]).sum(1, dtype=np.int64) <= WIDE_BUDGET]
+                        i, j = i[other], j[other]
+                        stays = (had[i] + _ranks(i) < allowed) | (had[j] + _ranks(j) < allowed)
+                        more |= not stays.all()
+                        i, j = i[stays], j[stays]
+                        if len(i):
+                            np.add.at(had, i, 1)
+                            np.add.at(had, j, 1)
+                            yield _pair_batch(names[i], names[j])
+                if more:
+                    yield pa.record_batch([pa.array([None], pa.int64())] * 2, names=["a", "b"])
 
-    def join(*columns) -> Iterator[pa.RecordBatch]:
-        for rot, group, wide, depth, order in _sorted_words(columns):
-            names, c = columns[4][order], columns[5 + WIDE][order]
-            begin, runs = _near_runs(rot, group, depth)
-            for x, y in runs:
-                for i, j in _crossed(x, y, begin):
-                    other = c[i] != c[j]
-                    i, j = i[other], j[other]
-                    ok = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= WIDE_BUDGET
-                    if ok.any():
-                        yield _pair_batch(names[i[ok]], names[j[ok]])
+        yield from _by_group(batches, join)
 
-    yield from _by_group(batches, join)
+    return pairs
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatch]:
@@ -434,39 +464,56 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
 
     ``nodes``: ``node`` (a number of its own) and w0, w1, ...; ``texts``: ``node, text``. Candidates come from the tries over all words of the
     wide fingerprints; the similarity is then computed from the shingles of the texts that are in a candidate pair. First as few pairs are tested as
-    connect all candidates (of nodes with one fingerprint the least stands for all, and each other is tested against it); then all candidate pairs
-    between components of verified links that a failed pair joins. So the links connect what all similar candidates connect.
+    connect all candidates (of nodes with one fingerprint the least stands for all, and each other is tested against it). A failed pair between two components of
+    verified links hides what other pairs of theirs would join, so these are tested in rounds: a few of each row, then more and more, until no
+    component that such a pair leads to has an untested candidate in another. So the links connect what all similar candidates connect,
+    and where most candidates are similar components grow together long before all pairs of a group are tested.
     """
+    spark = nodes.sparkSession
     wide = [f"w{k}" for k in range(WIDE)]
     half = [x for k in range(WIDE) for x in (F.shiftrightunsigned(F.col(f"w{k}"), 32), F.col(f"w{k}").bitwiseAND(0xFFFFFFFF))]
+    keep = ["node", *wide, "component"]
 
-    def candidates(rows: DataFrame, keep: list[str], join) -> DataFrame:
-        words = rows.select(*keep, F.posexplode(F.array(*half)).alias("path", "rot")).select((F.col("path") + 1).cast("bigint").alias("path"), "rot", *keep)
+    def candidates(rows: DataFrame, first: int, join) -> DataFrame:
+        """Pairs that ``join`` finds by the halves from ``first`` on (the first ones alone for none)."""
+        chosen = list(enumerate(half))[first:] if first >= 0 else list(enumerate(half))[:FIRST_WORDS]
+        words = rows.select(*keep, F.explode(F.array(*(F.struct(F.lit(k + 1).cast("bigint").alias("path"), x.alias("rot")) for k, x in chosen))).alias("word")).select("word.path", "word.rot", *keep)
         return _spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(join, "a bigint, b bigint").distinct()
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The pairs with ``similar``."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = stage_table(texts.join(ends, "node", "left_semi").select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return cut(both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("similar")))
+        with owned(spark):
+            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            sets = stage_table(texts.join(ends, "node", "left_semi").select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
+            both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
+            common = F.size(F.array_intersect("x", "y"))
+            return cut(both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("similar")))
+
+    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").select("node", *wide, F.coalesce("root", "node").alias("component"))
 
     heads = cut(nodes.groupBy(*wide).agg(F.min("node").alias("node")).select("node", *wide))
     members = nodes.join(heads.withColumnRenamed("node", "head"), wide).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first = tested(cut(candidates(heads, ["node", *wide], _candidates).unionByName(members)))
-    links, failed = first.filter("similar").select("a", "b"), first.filter("not similar").select("a", "b")
-    # a failed pair that joins two components of verified links hides what other pairs of theirs would join: those are all tested
-    roots = connected_components(links)
-    component = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    ends = failed.join(component("a"), "a", "left").join(component("b"), "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
-    opened = cut(ends.select(F.col("x").alias("component")).unionByName(ends.select(F.col("y").alias("component"))).distinct())
-    if opened.isEmpty():
-        return links
-    placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    again = cut(placed.join(opened, "component", "left_semi").select("node", *wide, "component"))
-    more = tested(cut(candidates(again, ["node", *wide, "component"], _apart).join(failed, ["a", "b"], "left_anti")))
-    return links.unionByName(more.filter("similar").select("a", "b"))
+    done = tested(cut(candidates(heads.withColumn("component", F.col("node")), -1, _candidates).unionByName(members)))
+    roots = connected_components(done.filter("similar"))
+    new = cut(candidates(placed(heads, roots), FIRST_WORDS, _candidates).join(done, ["a", "b"], "left_anti"))
+    done, allowed = done.unionByName(tested(new)), 1
+    while True:
+        roots = connected_components(done.filter("similar"))
+        end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))  # noqa: E731, B023
+        failed = done.filter("not similar").join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+        opened = cut(failed.select(F.col("x").alias("component")).unionByName(failed.select(F.col("y").alias("component"))).distinct())
+        if opened.isEmpty():
+            break
+        again = cut(placed(nodes, roots).join(opened, "component", "left_semi").select(keep))
+        found = cut(candidates(again, 0, _apart(allowed)))
+        new = cut(found.filter("a is not null").join(done, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            done = cut(done.unionByName(tested(new)))
+        elif found.filter("a is null").isEmpty():
+            break
+        allowed *= MORE
+    return done.filter("similar").select("a", "b")
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
