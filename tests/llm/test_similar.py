@@ -189,6 +189,6 @@ def test_allowed_candidates_of_each_row():
     for allowed in (1, 4, 16, 64):
         got = [(a, b) for r in simhash._apart(allowed)(iter([batch])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
         pairs = [p for p in got if p[0] is not None]
-        assert len(set(pairs)) == len(pairs) <= n * allowed and all(a // 2 != b // 2 for a, b in pairs)
+        assert len(set(pairs)) == len(pairs) <= 2 * n * allowed and all(a // 2 != b // 2 for a, b in pairs)
         assert all(sum(i in p for p in pairs) >= min(allowed, n - 2) for i in range(n))
         assert ((None, None) in got) == (len(pairs) < n * (n - 2) // 2)

@@ -412,7 +412,7 @@ def _ranks(x: np.ndarray) -> np.ndarray:
 
 def _apart(allowed: int):
     """mapInArrow: whole groups of words with their nodes, wide fingerprints and components to candidate pairs of different components: those that a row
-    which has not yet ``allowed`` of them has; a pair of nulls tells that there are more."""
+    which has not yet ``allowed`` of them on one side has; a pair of nulls tells that there are more."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def join(*columns) -> Iterator[pa.RecordBatch]:
