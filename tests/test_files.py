@@ -4,8 +4,10 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline import baselines, cli, staging
+from weftline.functions import lines as L
 from weftline.operators import dictionary, merge, order
 from weftline.options import GeneratorOptions, SortOptions, default_chunk_bytes, format_size, hardware_report, parse_size
 from weftline.plans import files as plans
@@ -336,3 +338,10 @@ def test_cli(spark, tmp_path, capsys):
     assert lines == sorted(lines, key=lambda x: (x.split(b". ", 1)[1], int(x.split(b".")[0]))) and len(lines) > 10
     assert cli.main(["sort", str(tmp_path / "none"), str(tmp_path / "s")]) == 1
     assert cli.main([]) == 1
+
+
+def test_size_format_of_all_longs(spark):
+    sizes = [0, -1, 1023, 1536, (1 << 20) - 1, (1 << 30) - 1, 1 << 30, (1 << 30) * 20 - 54_000_000, (1 << 59) + 3, 600_000_000_000_000_000 // 7 * 7, 1_199_999**3, (1 << 63) - 1]
+    sizes += [x * (1 << 30) + (1 << 30) * d // 20 + e for x in (1, 9, 99, 1 << 31, (1 << 33) - 2) for d in range(1, 20, 2) for e in (-1, 0, 1)]
+    got = spark.createDataFrame([(x,) for x in sizes], "size bigint").select("size", L.size_format(F.col("size")).alias("shown")).collect()
+    assert [r["shown"] for r in got] == [format_size(r["size"]) for r in got]

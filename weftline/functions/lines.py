@@ -100,14 +100,14 @@ def shard_id(key2: Column, shards: int) -> Column:
 
 
 def size_format(size: Column) -> Column:
-    """As options.format_size, with halves away from zero."""
+    """As options.format_size, with halves away from zero. Whole units and the rest are apart, so that no size of 64 bits overflows or meets a double."""
     gib, mib, kib = (F.lit(1 << p).cast("bigint") for p in (30, 20, 10))
-    whole = lambda unit: F.floor((size * 2 + unit) / (unit * 2)).cast("string")
-    tenths = F.floor((size * 20 + gib) / (gib * 2)).cast("bigint")
+    whole = lambda p: F.shiftright(size + F.lit(1 << p - 1).cast("bigint"), p).cast("string")
+    tenths = F.shiftright(size.bitwiseAND(gib - 1) * 20 + gib, 31)  # 10 of the rest are one more
     return (
-        F.when(size >= gib, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" GB")))
-        .when(size >= mib, F.concat(whole(mib), F.lit(" MB")))
-        .when(size >= kib, F.concat(whole(kib), F.lit(" KB")))
+        F.when(size >= gib, F.concat((F.shiftright(size, 30) + F.when(tenths == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" GB")))
+        .when(size >= mib, F.concat(whole(20), F.lit(" MB")))
+        .when(size >= kib, F.concat(whole(10), F.lit(" KB")))
         .otherwise(F.concat(size.cast("string"), F.lit(" B")))
     )
 
