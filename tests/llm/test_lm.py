@@ -126,3 +126,36 @@ def test_long_texts_clashing_columns_and_repeats(spark, docs):
     assert len(got) == 4 and sorted(r.n_tokens for r in got) == [1, 2, 120_001, 120_001]
     alone = model.mixer.log10(*lm.joined([long]))[0]
     assert all(abs(r.score - alone) < 1e-4 * abs(alone) for r in got if r.n_tokens > 9)
+
+
+def test_gate_weights_are_learned_from_every_training_text(spark):
+    """One Newton step by all texts, each decision predicted by tables without itself; held against a plain sum, text by text."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "Ünïcode", "x1"], rng.integers(0, 40))) for _ in range(30)]
+    pairs = np.zeros((256, lm.SYMBOLS), np.int64)
+    s = lm.Symbols.build(*lm.joined(texts))
+    np.add.at(pairs, (s.codes[s.at - 1].astype(int), s.codes[s.at].astype(int)), 1)
+    trees, bits = lm.Trees(pairs), lm.SLOT_BITS[0]
+    counts = np.zeros((len(lm.ORDERS), 2 << bits), np.uint32)
+    lm.tallies(texts, trees, bits, counts)
+    start = np.tile(lm.START, (lm.GATES * lm.CLASSES, 1))
+    k = lm.INPUTS + 1
+    hessian, gradient = np.zeros((k, k, len(start))), np.zeros((k, len(start)))
+    for t in texts:
+        d = lm.decisions(lm.Symbols.build(*lm.joined([t])), trees, bits)
+        x = [trees.logits[d.code] / lm.SCALE]
+        for c, i in zip(counts.astype(float).reshape(len(lm.ORDERS), -1, 2), d.slots, strict=True):
+            x.append(np.clip(np.log((c[i, 1] - d.bits + 0.3) / (c[i, 0] - (1 - d.bits) + 0.3)), -15, 15))
+        x.append(np.ones(len(d.code)))
+        g = trees.gates[d.code]
+        p = 1 / (1 + np.exp(-sum(start[g, i] * v for i, v in enumerate(x))))
+        for i in range(k):
+            np.add.at(gradient[i], g, (d.bits - p) * x[i])
+            for j in range(k):
+                np.add.at(hessian[i, j], g, p * (1 - p) * x[i] * x[j])
+    want = start + lm.newton_step(hessian, gradient, start)
+    got = lm.refitted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), trees, counts, start)
+    assert np.abs(want - start).max() > 0.01 and np.allclose(got, want, atol=5e-3)  # tables have 256ths
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    few, all_but_none = (lm.train(rows, fit_rows=n).mixer.weights for n in (1, 0))
+    assert np.abs(all_but_none - start).max() > 0.01 and np.abs(few - start).max() > 0.01  # rows that are in no sample teach
