@@ -192,3 +192,53 @@ def test_allowed_candidates_of_each_row():
         assert len(set(pairs)) == len(pairs) <= 2 * n * allowed and all(a // 2 != b // 2 for a, b in pairs)
         assert all(sum(i in p for p in pairs) >= min(allowed, n - 2) for i in range(n))
         assert ((None, None) in got) == (len(pairs) < n * (n - 2) // 2)
+
+
+def test_failed_candidates_are_not_written_pair_by_pair(spark, monkeypatch):
+    """Texts of one template, nearly all candidates and hardly any similar: no table of pairs grows with the square of the group, salted or not, and each link is found."""
+    rng, n = random.Random(41), 120
+    rows = []
+    for i in range(n):
+        words = [f"b{k}" for k in range(400)]
+        at = rng.randrange(350)
+        words[at : at + 50] = [f"x{i}y{k}" for k in range(50)]
+        rows.append((i, " ".join(words)))
+    rows += [(n + i, rows[7 * i][1] + " and some more") for i in range(9)] + [(n + 9, " "), (n + 10, None), (n + 11, "")]
+    sets = [shingles(t or "") for _, t in rows]
+    similar = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 12 <= len(similar) < 0.2 * n * n / 2
+    root = simhash.forest(len(rows), iter([tuple(np.array(similar).T)]))
+    sizes, cut = [], simhash.cut
+
+    def counted(df):
+        df = cut(df)
+        if {"a", "b"} <= set(df.columns):
+            sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (None, 40_000):
+        if most:
+            monkeypatch.setattr(simhash, "GROUP_BYTES", most)
+        assert sorted(r.doc_id for r in simhash.keep_one_similar(df).collect()) == sorted(set(root.tolist()))
+        assert sizes and max(sizes) <= 4 * len(rows)
+
+
+def test_similar_sets_of_groups_meet_whatever_their_sides(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 200)  # hashes of few sets are in many
+    monkeypatch.setattr(simhash, "TESTED", 3)
+    rng = np.random.Generator(np.random.PCG64(12))
+    n, groups = 240, 3
+    root, side = np.sort(rng.integers(0, groups, n)), rng.integers(0, 2, n)
+    sets = [np.unique(rng.permutation(60)[: rng.integers(40, 60)] - 30).astype(np.int32) for _ in range(n)]
+    sets[5] = sets[6] = np.array([], np.int32)
+    for sides in (side, np.zeros(n, np.int64)):
+        columns = [root, np.zeros(n, np.int64), sides, np.arange(n)]
+        batch = simhash.pa.record_batch([*(simhash.pa.array(c) for c in columns), simhash.pa.array(sets, simhash.pa.list_(simhash.pa.int32())), *[simhash.pa.array(np.zeros(n, np.int64))] * simhash.WIDE], names=list("abcdefghijk"))
+        got = [(a, b) for r in simhash._similar(0.8)(iter([batch])) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
+        alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+        want = [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] == root[b] and (sides is not side or side[a] != side[b] or not len(sets[b])) and alike(a, b)]
+        assert len(want) > 300 and all(root[a] == root[b] and alike(a, b) for a, b in got)
+        parts = [simhash.forest(n, iter([tuple(np.array(x).T)])) for x in (want, got)]
+        assert (parts[0] == parts[1]).all() and len(got) == n - len(set(parts[0].tolist()))

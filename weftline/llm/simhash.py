@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_udf, cut, free_name, ship, slices, stage_table
 from weftline.llm.components import connected_components
-from weftline.staging import owned
 
 BITS = 64
 #: Rows with one key above which the group is cut into finer ones, or into salted blocks if one word has most of it.
@@ -32,8 +31,10 @@ WIDE, WORD_BUDGET, WIDE_BUDGET = 6, 3, 80
 RADIUS, LEADERS = 4, 64
 #: Halves of longs whose candidates are tested first, so that those of all others are few.
 FIRST_WORDS = 3
-#: Candidates of a row that a round tests in each group where components of verified links stay apart; each round tests so many times more than the one before.
-MORE = 4
+#: Bytes of text of a group of candidates above which it is salted into pairs of chunks, whose shingle sets a task holds; rows of smaller groups taken at once.
+GROUP_BYTES, SET_ROWS = 24 << 20, 4096
+#: Pairs tested before links are looked at again (then twice as many, and so on), and pairs remembered as tested.
+TESTED, SEEN = 256, 1 << 20
 
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
@@ -440,14 +441,14 @@ def _apart(allowed: int):
     return pairs
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatch]:
-    """Calls ``join`` on columns of whole groups (the first two columns), JOIN_ROWS rows or more at a time."""
+def _by_group(batches: Iterator[pa.RecordBatch], join, least: int = 0) -> Iterator[pa.RecordBatch]:
+    """Calls ``join`` on columns of whole groups (the first two columns), ``least`` (JOIN_ROWS) rows or more at a time."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         rows += batch.num_rows
-        if rows < JOIN_ROWS:
+        if rows < (least or JOIN_ROWS):
             continue
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         other = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
@@ -459,61 +460,151 @@ def _by_group(batches: Iterator[pa.RecordBatch], join) -> Iterator[pa.RecordBatc
         yield from join(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _prefixes(sets: list[np.ndarray], group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets with their hashes numbered by how many sets of a group have them, rare ones first: the numbers set by set in order, and where each set begins;
+    and what is in so many sets that it can be the first that two similar ones share: number, set and place, in order."""
+    size = np.array([len(x) for x in sets], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    of = np.repeat(np.arange(len(sets)), size)
+    held = np.concatenate([np.array([], np.int32), *sets]).astype(np.int64) & 0xFFFFFFFF | group[of] << 32
+    _, number, count = np.unique(held, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    packed = np.sort(of * max(1, len(count)) + rank[number])
+    rank, shared = packed - of * max(1, len(count)), np.sort(count) > 1
+    place = np.arange(len(rank)) - begin[of]
+    # two similar sets share at least this share of either, so no more can come before the first that they share
+    own = np.flatnonzero((place <= size[of] - np.ceil(least * size[of] - 1e-9)) & shared[rank])
+    own = own[np.argsort(rank[own], kind="stable")]
+    return rank, begin, rank[own], of[own], place[own]
+
+
+class _Links:
+    """Links between sets of ``least`` similarity or more, as few as connect what all such links connect. Pairs come with the places of a hash that both have."""
+
+    def __init__(self, rank: np.ndarray, begin: np.ndarray, wide: np.ndarray, least: float):
+        self.rank, self.begin, self.size, self.wide, self.least = rank, begin, np.diff(begin), wide, least
+        self.root, self.a, self.b = np.arange(len(self.size)), [], []
+        self.mark, self.seen = np.zeros(int(rank.max(initial=0)) + 1, bool), np.full(SEEN, -1)
+
+    def meet(self, i: np.ndarray, j: np.ndarray, pi: np.ndarray, pj: np.ndarray) -> None:
+        """Tests the pairs that are of different components and, were this the first hash that they share, can be similar enough."""
+        need = np.ceil(self.least / (1 + self.least) * (self.size[i] + self.size[j]) - 1e-9)
+        may = np.flatnonzero((np.minimum(self.size[i] - pi, self.size[j] - pj) >= need) & (self.root[i] != self.root[j]))
+        may = may[np.bitwise_count(self.wide[i[may]] ^ self.wide[j[may]]).sum(1, dtype=np.int64) <= WIDE_BUDGET + 2 * RADIUS]
+        pair = np.unique(np.minimum(i[may], j[may]) * len(self.size) + np.maximum(i[may], j[may]))
+        slot = (pair * 0x9E3779B1 >> 8) % SEEN
+        new = self.seen[slot] != pair
+        pair = pair[new]
+        self.seen[slot[new]] = pair  # what two pairs share a slot of is only tested once more
+        step = TESTED
+        while len(pair):
+            i, j = np.divmod(pair[:step], len(self.size))
+            apart = self.root[i] != self.root[j]
+            self._test(i[apart], j[apart])
+            pair, step = pair[step:], 2 * step
+
+    def _test(self, i: np.ndarray, j: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate([[len(i) > 0], i[1:] != i[:-1]])[: len(i)])
+        for at, to in zip(first, np.append(first, len(i))[1:], strict=True):
+            x = int(i[at])
+            own = self.rank[self.begin[x] : self.begin[x + 1]]
+            self.mark[own] = True
+            for k in range(at, to, TESTED):
+                y = j[k : min(to, k + TESTED)]
+                n = self.size[y]
+                end = np.cumsum(n)
+                both = self.mark[self.rank[np.arange(int(end[-1])) + np.repeat(self.begin[y] - end + n, n)]]
+                common = np.add.reduceat(both, end - n, dtype=np.int64)
+                for other in y[common >= self.least * (len(own) + n - common)].tolist():
+                    self.link(x, other)
+            self.mark[own] = False
+
+    def link(self, x: int, y: int) -> None:
+        lo, hi = sorted((self.root[x], self.root[y]))
+        if lo != hi:
+            self.root[self.root == hi] = lo
+            self.a.append(x)
+            self.b.append(y)
+
+
+def _similar(least: float):
+    """mapInArrow: whole groups (of two columns) with side, node, shingles and wide fingerprint to links ``a, b`` that connect all pairs of similar shingle sets in a group
+    (if it holds two sides, of different sides) within the candidates' distance. Pairs are met by the hashes that can be the first that similar sets share, rare ones first."""
+
+    def join(root: np.ndarray, part: np.ndarray, side: np.ndarray, node: np.ndarray, sets: np.ndarray, *wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.concatenate([[0], (root[1:] != root[:-1]) | (part[1:] != part[:-1])]).astype(np.int64))
+        low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, -1)
+        np.minimum.at(low, group, side)
+        np.maximum.at(high, group, side)
+        two = (low < high)[group]
+        rank, begin, shared, of, place = _prefixes(list(sets), group, least)
+        links = _Links(rank, begin, np.stack([x.view(np.uint64) for x in wide], axis=1), least)
+        bare = np.flatnonzero(links.size == 0)
+        for x, y in zip(bare[:-1], bare[1:], strict=True):  # sets without shingles are alike
+            if group[x] == group[y]:
+                links.link(int(x), int(y))
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            x, y = of[i], of[j]
+            ok = ~two[x] | (side[x] != side[y])
+            links.meet(x[ok], y[ok], place[i[ok]], place[j[ok]])
+
+        first = np.flatnonzero(np.concatenate([[True], shared[1:] != shared[:-1]])) if len(shared) else np.array([], np.int64)
+        n = np.diff(np.append(first, len(shared)))
+        small = n * n <= PAIRS
+        for i, j in _products(first[small], n[small], first[small], n[small]):
+            meet(i, j)
+        for at, k in zip(first[~small].tolist(), n[~small].tolist(), strict=True):
+            left = np.arange(at, at + k)
+            while len(left) > 1:  # a few rows at a time are met with all that are left, those outside of the largest component first
+                component, where, count = np.unique(links.root[of[left]], return_inverse=True, return_counts=True)
+                if len(component) == 1:
+                    break
+                left = left[np.argsort(where == np.argmax(count), kind="stable")]
+                tall = max(1, min(PAIRS // len(left), len(left) - int(count.max())))
+                for i, j in _products(np.array([0, 0]), np.array([tall, tall]), np.array([0, tall]), np.array([tall, len(left) - tall])):
+                    meet(left[i], left[j])
+                left = left[tall:]
+        yield _pair_batch(node[np.array(links.a, np.int64)], node[np.array(links.b, np.int64)])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_group(batches, join, SET_ROWS)
+
+    return similar
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """``a, b``: pairs of nodes whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more.
+    """``a, b``: links between nodes whose texts' sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more, as many as connect all such candidates.
 
     ``nodes``: ``node`` (a number of its own) and w0, w1, ...; ``texts``: ``node, text``. Candidates come from the tries over all words of the
-    wide fingerprints; the similarity is then computed from the shingles of the texts that are in a candidate pair. First as few pairs are tested as
-    connect all candidates (of nodes with one fingerprint the least stands for all, and each other is tested against it). A failed pair between two components of
-    verified links hides what other pairs of theirs would join, so these are tested in rounds: a few of each row, then more and more, until no
-    component that such a pair leads to has an untested candidate in another. So the links connect what all similar candidates connect,
-    and where most candidates are similar components grow together long before all pairs of a group are tested.
+    wide fingerprints, as few pairs as connect all of them (of nodes with one fingerprint the least stands for all). What they connect is a group, and
+    the shingle sets of a group meet in one task, where links are found exactly: no pair is written that isn't a link, however many candidates fail.
+    Groups of much text are salted into chunks, and each pair of chunks is a task's.
     """
-    spark = nodes.sparkSession
     wide = [f"w{k}" for k in range(WIDE)]
     half = [x for k in range(WIDE) for x in (F.shiftrightunsigned(F.col(f"w{k}"), 32), F.col(f"w{k}").bitwiseAND(0xFFFFFFFF))]
     keep = ["node", *wide, "component"]
 
-    def candidates(rows: DataFrame, first: int, join) -> DataFrame:
-        """Pairs that ``join`` finds by the halves from ``first`` on (the first ones alone for none)."""
-        chosen = list(enumerate(half))[first:] if first >= 0 else list(enumerate(half))[:FIRST_WORDS]
-        words = rows.select(*keep, F.explode(F.array(*(F.struct(F.lit(k + 1).cast("bigint").alias("path"), x.alias("rot")) for k, x in chosen))).alias("word")).select("word.path", "word.rot", *keep)
-        return _spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(join, "a bigint, b bigint").distinct()
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs with ``similar``."""
-        with owned(spark):
-            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            sets = stage_table(texts.join(ends, "node", "left_semi").select("node", shingle_set(F.col("text"), width).alias("s")), "shingles")
-            both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
-            common = F.size(F.array_intersect("x", "y"))
-            return cut(both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("similar")))
-
-    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots, "node", "left").select("node", *wide, F.coalesce("root", "node").alias("component"))
+    def candidates(rows: DataFrame, chosen: range) -> DataFrame:
+        words = rows.select(*keep, F.explode(F.array(*(F.struct(F.lit(k + 1).cast("bigint").alias("path"), half[k].alias("rot")) for k in chosen))).alias("word")).select("word.path", "word.rot", *keep)
+        return cut(_spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(_candidates, "a bigint, b bigint").distinct())
 
     heads = cut(nodes.groupBy(*wide).agg(F.min("node").alias("node")).select("node", *wide))
     members = nodes.join(heads.withColumnRenamed("node", "head"), wide).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    done = tested(cut(candidates(heads.withColumn("component", F.col("node")), -1, _candidates).unionByName(members)))
-    roots = connected_components(done.filter("similar"))
-    new = cut(candidates(placed(heads, roots), FIRST_WORDS, _candidates).join(done, ["a", "b"], "left_anti"))
-    done, allowed = done.unionByName(tested(new)), 1
-    while True:
-        roots = connected_components(done.filter("similar"))
-        end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))  # noqa: E731, B023
-        failed = done.filter("not similar").join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
-        opened = cut(failed.select(F.col("x").alias("component")).unionByName(failed.select(F.col("y").alias("component"))).distinct())
-        if opened.isEmpty():
-            break
-        again = cut(placed(nodes, roots).join(opened, "component", "left_semi").select(keep))
-        found = cut(candidates(again, 0, _apart(allowed)))
-        new = cut(found.filter("a is not null").join(done, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            done = cut(done.unionByName(tested(new)))
-        elif found.filter("a is null").isEmpty():
-            break
-        allowed *= MORE
-    return done.filter("similar").select("a", "b")
+    pairs = candidates(heads.withColumn("component", F.col("node")), range(FIRST_WORDS))
+    placed = heads.join(connected_components(pairs), "node", "left").select("node", *wide, F.coalesce("root", "node").alias("component"))
+    pairs = pairs.unionByName(candidates(placed, range(FIRST_WORDS, len(half)))).unionByName(members)
+    grouped = cut(connected_components(pairs).join(nodes, "node"))
+    sizes = texts.select("node", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    hot = cut(grouped.select("node", "root").join(sizes, "node").groupBy("root").agg(F.sum("size").alias("n")).filter(F.col("n") > GROUP_BYTES))
+    chunks = F.coalesce(F.ceil(F.col("n") * 2 / GROUP_BYTES), F.lit(1)).cast("bigint")
+    rows = grouped.join(hot, "root", "left").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("node"), "chunks"))
+    sets = texts.join(rows, "node").select("root", "chunks", "side", "node", shingle_set(F.col("text"), width).alias("s"), *wide)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    dealt = sets.withColumn("other", other).select("root", (F.least("side", "other") * F.col("chunks") + F.greatest("side", "other")).alias("part"), "side", "node", "s", *wide)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part").mapInArrow(_similar(least), "a bigint, b bigint")
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
