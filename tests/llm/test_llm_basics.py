@@ -638,3 +638,18 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     assert nameless["items"] == [None] and nameless.contaminated
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(odd, bench.filter("false")).filter("contaminated").isEmpty()
+
+
+def test_least_distances_of_stretches_of_any_lengths():
+    import numpy as np
+
+    from weftline.llm import decontaminate as d
+
+    rng = np.random.Generator(np.random.PCG64(17))
+    text = "".join(rng.choice(list("abcd"), 900))
+    begin = rng.integers(0, 500, 70)
+    end = begin + rng.integers(0, 400, 70)
+    items = ["".join(rng.choice(list("abcd"), n)) for n in rng.integers(1, 65, 70)]
+    masks, last = (np.concatenate(x) for x in zip(*(d.piece_masks(d.char_codes(np.frombuffer(t.encode(), np.uint8))[0]) for t in items), strict=True))
+    got = d.least_distances(masks, last, d.char_codes(np.frombuffer(text.encode(), np.uint8))[0], begin, end)
+    assert got.tolist() == [d.myers(t, text[a:b])[0] for t, a, b in zip(items, begin, end, strict=True)]

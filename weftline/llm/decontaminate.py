@@ -213,27 +213,46 @@ def piece_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def least_distances(masks: np.ndarray, last: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each piece its least edit distance to any part of codes[begin:end], all pieces at once: bit-parallel, a step for each character of the longest stretch."""
-    n, steps = len(begin), int((end - begin).max(initial=0))
-    # places behind a stretch's end hold a character that no piece has, which never lowers a distance
-    padded, filler = np.append(codes, np.uint8(0)), len(codes)
-    row = np.arange(n) * CODES
-    flat = masks.ravel()
-    pv, mv = np.full(n, ~_U(0)), np.zeros(n, np.uint64)
+    order = np.argsort(end - begin, kind="stable")  # stretches that have ended are at the front, so that a step takes what is behind them
+    begin, last, row = begin[order], last[order], order * CODES
+    size = end[order] - begin
+    ended = np.searchsorted(size, np.arange(int(size.max(initial=0))), side="right").tolist()
+    flat, codes = masks.ravel(), codes.astype(np.intp)
+    pv, mv = np.full(len(begin), ~_U(0)), np.zeros(len(begin), np.uint64)
     score = np.bitwise_count(last - _U(1)).astype(np.int64) + 1
     best = score.copy()
-    for step in range(steps):
-        at = begin + step
-        eq = flat[row + padded[np.where(at < end, at, filler)]]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv), pv & xh
-        score += (ph & last) != 0
-        score -= (mh & last) != 0
-        np.minimum(best, score, out=best)
-        ph <<= _U(1)
-        mh <<= _U(1)
-        pv, mv = mh | ~(xv | ph), ph & xv
-    return best
+    room = [np.empty(len(begin), np.uint64) for _ in range(3)]
+    at, place = begin.astype(np.intp), np.empty(len(begin), np.intp)
+    done = None
+    for k in ended:
+        if k != done:  # the arrays without what has ended
+            p, m, sc, be, la, ro, where, to, eq, xh, t = (x[k:] for x in (pv, mv, score, best, last, row, at, place, *room))
+            done = k
+        np.take(codes, where, out=to, mode="clip")
+        to += ro
+        where += 1
+        np.take(flat, to, out=eq, mode="clip")
+        np.bitwise_and(eq, p, out=xh)
+        xh += p
+        xh ^= p
+        xh |= eq
+        eq |= m  # xv
+        np.bitwise_or(xh, p, out=t)
+        np.invert(t, out=t)
+        t |= m  # ph
+        p &= xh  # mh
+        sc += (t & la) != 0
+        sc -= (p & la) != 0
+        np.minimum(be, sc, out=be)
+        t <<= _U(1)
+        p <<= _U(1)
+        np.bitwise_and(t, eq, out=m)
+        eq |= t
+        np.invert(eq, out=eq)
+        p |= eq
+    out = np.empty_like(best)
+    out[order] = best
+    return out
 
 
 @dataclass
@@ -331,12 +350,17 @@ class Index:
                     out[walk, s, k] = np.full(len(at), salt, _U)
                     for j, f in zip(steps.tolist(), factors, strict=True):
                         where.setdefault(j, []).append((out[walk, s, k], f))
-            i = at.astype(np.int64)
+            i = at.astype(np.intp)
+            x, share, place = np.empty(len(at), _U), np.empty(len(at), _U), np.empty(len(at), np.intp)
             for j in range(max(where, default=-1) + 1):
-                x = padded[np.where(i < end, i, filler)]
+                np.copyto(place, i)
+                np.copyto(place, filler, where=i >= end)
+                np.take(padded, place, out=x, mode="clip")
                 for key, f in where.get(j, ()):
-                    key += x * f
-                i += ((x * r["turn"][walk, j]) >> _U(63)).astype(np.int64)
+                    key += np.multiply(x, f, out=share)
+                np.multiply(x, r["turn"][walk, j], out=share)
+                share >>= _U(63)
+                i += share.view(np.int64)
         for key in out.values():
             key ^= key >> _U(32)
             key *= _U(0x94D049BB133111EB)
@@ -390,7 +414,7 @@ class Index:
         found = self.embed(w.hashes, at, w.first[1:][text_of[at]], r["sizes"]) | self.embed_chars(chars, char_at)
         for name, keys in found.items():
             bits, table, items, offs = r["tables"][name]
-            near = np.flatnonzero(bits[keys >> _U(44)])
+            near = np.flatnonzero(np.take(bits, (keys >> _U(44)).view(np.int64), mode="clip"))
             lo = np.searchsorted(table, keys[near])
             n = np.searchsorted(table, keys[near], side="right") - lo
             if not n.any():
