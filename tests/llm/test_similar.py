@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from weftline.llm import simhash
+from weftline.llm import common, simhash
 
 
 def shingles(text, k=5):
@@ -242,3 +244,41 @@ def test_similar_sets_of_groups_meet_whatever_their_sides(monkeypatch):
         assert len(want) > 300 and all(root[a] == root[b] and alike(a, b) for a, b in got)
         parts = [simhash.forest(n, iter([tuple(np.array(x).T)])) for x in (want, got)]
         assert (parts[0] == parts[1]).all() and len(got) == n - len(set(parts[0].tolist()))
+
+
+def test_memory_of_shingle_sets_is_bounded():
+    """Groups meet some at a time: 4,000 texts of 400 words in 400 groups; what a task holds doesn't grow with its rows."""
+    rng = np.random.default_rng(4)
+    sets, n = [], 4000
+    for _ in range(n // 10):
+        base = rng.integers(-(1 << 31), 1 << 31, 420)
+        sets += [np.unique(np.append(base, rng.integers(-(1 << 31), 1 << 31, 20))).astype(np.int32) for _ in range(10)]
+    of = np.arange(n) // 10
+    names = ["root", "part", "side", "node", "s", *(f"w{k}" for k in range(simhash.WIDE))]
+    columns = [of, np.zeros(n, int), np.zeros(n, int), np.arange(n), None, *[np.zeros(n, int)] * simhash.WIDE]
+    every = pa.record_batch([pa.array(sets, pa.list_(pa.int32())) if c is None else pa.array(c) for c in columns], names=names)
+    tracemalloc.start()
+    links = sum(b.num_rows for b in simhash._similar(0.8)(every.slice(at, 100) for at in range(0, n, 100)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == n - n // 10
+    assert peak < 80 << 20, peak
+
+
+def test_what_a_worker_has_freed_goes_back():
+    """A worker stays from stage to stage; small blocks that a stage has freed, below one that stays, don't count in the next."""
+    held = []
+
+    def stage(batches):
+        blocks = [bytes(2000) for _ in range(100_000)]
+        held.append(bytes(2000))
+        yield from batches
+        del blocks
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    before = resident()
+    assert list(common.lean(stage)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 100 << 20

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_udf, cut, free_name, ship, slices, stage_table
+from weftline.llm.common import arrow_udf, cut, free_name, lean, ship, slices, stage_table
 from weftline.llm.components import connected_components
 
 BITS = 64
@@ -32,7 +32,7 @@ RADIUS, LEADERS = 4, 64
 #: Halves of longs whose candidates are tested first, so that those of all others are few.
 FIRST_WORDS = 3
 #: Bytes of text of a group of candidates above which it is salted into pairs of chunks, whose shingle sets a task holds; rows of smaller groups taken at once.
-GROUP_BYTES, SET_ROWS = 24 << 20, 4096
+GROUP_BYTES, SET_ROWS = 8 << 20, 1024
 #: Pairs tested before links are looked at again (then twice as many, and so on), and pairs remembered as tested.
 TESTED, SEEN = 256, 1 << 20
 
@@ -296,7 +296,7 @@ def links(fingerprints: DataFrame, column: str, budget: int = 2) -> DataFrame:
     Fingerprints are dealt to subtrees of budget + 1 turned tries by a block of their bits, so that no link is lost.
     """
     rows = fingerprints.select(F.col(column).alias("fp")).filter("fp is not null").distinct().select("fp", F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("rot"))
-    return _spread(rows, ["fp"], 0, budget + 1).mapInArrow(_links_of(budget), "a bigint, b bigint").distinct()
+    return _spread(rows, ["fp"], 0, budget + 1).mapInArrow(lean(_links_of(budget)), "a bigint, b bigint").distinct()
 
 
 def spanning(n: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -588,7 +588,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
 
     def candidates(rows: DataFrame, chosen: range) -> DataFrame:
         words = rows.select(*keep, F.explode(F.array(*(F.struct(F.lit(k + 1).cast("bigint").alias("path"), half[k].alias("rot")) for k in chosen))).alias("word")).select("word.path", "word.rot", *keep)
-        return cut(_spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(_candidates, "a bigint, b bigint").distinct())
+        return cut(_spread(words, keep, BITS // 2, WORD_BUDGET + 1).mapInArrow(lean(_candidates), "a bigint, b bigint").distinct())
 
     heads = cut(nodes.groupBy(*wide).agg(F.min("node").alias("node")).select("node", *wide))
     members = nodes.join(heads.withColumnRenamed("node", "head"), wide).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -604,7 +604,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = 0.8, width:
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
     dealt = sets.withColumn("other", other).select("root", (F.least("side", "other") * F.col("chunks") + F.greatest("side", "other")).alias("part"), "side", "node", "s", *wide)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part").mapInArrow(_similar(least), "a bigint, b bigint")
+    return dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part").mapInArrow(lean(_similar(least)), "a bigint, b bigint")
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
