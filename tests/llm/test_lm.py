@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -159,3 +160,22 @@ def test_gate_weights_are_learned_from_every_training_text(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     few, all_but_none = (lm.train(rows, fit_rows=n).mixer.weights for n in (1, 0))
     assert np.abs(all_but_none - start).max() > 0.01 and np.abs(few - start).max() > 0.01  # rows that are in no sample teach
+
+
+def test_the_driver_holds_one_set_of_counts():
+    """Tables are made some slots at a time, and the sample is left out without counts of its own: at most half of the counts comes on top, tables included."""
+    trees = small_mixer().trees
+    texts = [f"hello world {i} and others" for i in range(80)]
+    counts = np.full((len(lm.ORDERS), 2 << 20), 7, np.uint32)
+    lm.tallies(texts, trees, 20, counts)
+    before = counts.copy()
+    own = np.zeros_like(counts)
+    lm.tallies(texts, trees, 20, own)
+    want = [lm.logits(c - o) for c, o in zip(counts, own, strict=True)]
+    tracemalloc.start()
+    got = lm.tables_without(texts, trees, 20, counts)
+    made = [lm.without_itself(c) for c in counts]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((g == w).all() for g, w in zip(got, want, strict=True)) and (counts == before).all()
+    assert peak < sum(x.nbytes for x in (*got, *made)) + counts.nbytes // 2, peak
